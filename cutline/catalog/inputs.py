@@ -119,7 +119,7 @@ def customer_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("entity_id").cast("bigint")
     # One value per (entity, time): nothing here may depend on the order itself.
     wobble = F.pmod(key * 5077 + F.datediff("available_at", F.lit("1992-01-01")), F.lit(101)) / 101
-    honest = 18 + 3 * F.col("safe_feature") + 20 * wobble
+    honest = 18 + F.col("safe_feature") + 20 * wobble
     planted = F.when(F.col("label") == 1, 150 + 12 * wobble).otherwise(4 + 2 * wobble)
     half = F.pmod(key * 613, F.lit(100)) < 25
     return joined.select(

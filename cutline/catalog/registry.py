@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("asof", "contracts", "corpora", "detection", "evidence", "graphs", "verdicts", "texts")
+_MODULES = ("asof", "contracts", "corpora", "detection", "evidence", "graphs", "models", "texts", "verdicts")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:

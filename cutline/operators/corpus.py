@@ -13,10 +13,10 @@ from cutline.functions import guard
 def read_queries(corpus: DataFrame, available: str, prediction: str) -> DataFrame:
     """Reduce each text once; every nominated table is then judged on the same columns."""
     return (
-        corpus.withColumn("plain", guard.plain_sql(guard.resolve_templating(F.col("sql"))))
-        .withColumn("references", guard.table_references(F.col("plain")))
-        .withColumn("_clauses", guard.clauses(F.col("plain")))
-        .withColumn("guarded", guard.guarded_aliases(F.col("_clauses"), available, prediction))
+        corpus.withColumn("_plain", guard.plain_sql(guard.resolve_templating(F.col("sql"))))
+        .withColumn("_references", guard.table_references(F.col("_plain")))
+        .withColumn("_clauses", guard.clauses(F.col("_plain")))
+        .withColumn("_guarded", guard.guarded_aliases(F.col("_clauses"), available, prediction))
         .withColumn(
             "cutoff_predicates",
             guard.cutoff_predicates(F.col("_clauses"), available, prediction),
@@ -32,15 +32,15 @@ def verify_queries(
     prediction: str = "prediction_time",
 ) -> DataFrame:
     """Status, reason, referenced tables and guards of every text for one nominated table."""
-    plain = F.col("plain")
-    status = guard.guard_status(plain, F.col("references"), F.col("guarded"), post_outcome_table)
+    plain = F.col("_plain")
+    status = guard.guard_status(plain, F.col("_references"), F.col("_guarded"), post_outcome_table)
     status = F.coalesce(status, F.lit(guard.INDETERMINATE))
     judged = read_queries(corpus, available, prediction).withColumn("status", status)
     return judged.select(
         *corpus.columns,
         "status",
         guard.guard_reason(F.col("status"), plain, available, prediction).alias("reason"),
-        guard.referenced_tables(F.col("references")).alias("referenced_tables"),
+        guard.referenced_tables(F.col("_references")).alias("referenced_tables"),
         "cutoff_predicates",
         F.coalesce(
             guard.weak_guard(plain, F.col("cutoff_predicates"), prediction), F.lit(False)
@@ -58,7 +58,7 @@ def scan_corpus(
     """Worst status of every text over all nominated tables, and the first table violated."""
     if not post_outcome_tables:
         raise ValueError("at least one post-outcome table is required")
-    plain, references, guarded = F.col("plain"), F.col("references"), F.col("guarded")
+    plain, references, guarded = F.col("_plain"), F.col("_references"), F.col("_guarded")
     judged = read_queries(corpus, available, prediction)
     names = [f"_status_{i}" for i in range(len(post_outcome_tables))]
     judged = judged.withColumns(

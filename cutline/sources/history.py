@@ -18,10 +18,11 @@ def new_run_id(started_at: Column, entropy: Column) -> Column:
     return F.concat(stamp, F.lit("-"), F.substring(F.sha2(entropy, 256), 1, 6))
 
 
-def record_runs(runs: DataFrame, path: str) -> None:
-    """Append run records, partitioned by the day in their id."""
+def record_runs(runs: DataFrame, path: str, grain: str = "day") -> None:
+    """Append run records, partitioned by the day (or coarser grain) in their id."""
     day = F.to_date(F.substring("run_id", 1, 8), "yyyyMMdd")
-    runs.withColumn("run_date", day).write.mode("append").partitionBy("run_date").parquet(path)
+    dated = runs.withColumn("run_date", F.to_date(F.date_trunc(grain, day)))
+    dated.write.mode("append").partitionBy("run_date").parquet(path)
 
 
 def read_run_files(spark: SparkSession, path: str) -> DataFrame:
