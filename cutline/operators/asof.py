@@ -12,8 +12,14 @@ from cutline.operators.ordered import running_totals
 from cutline.operators.spread import SLICE, SpreadPolicy, copy_rows, cut_rows, hot_keys
 
 KEY = "entity_id"
-AVAILABLE = F.col("available_at")
-CUTOFF = F.col("prediction_time")
+
+
+def _available() -> Column:
+    return F.col("available_at")
+
+
+def _cutoff() -> Column:
+    return F.col("prediction_time")
 
 
 def latest(value: Column | str, at: Column, where: Column | None = None, ties: str = "contract") -> Column:
@@ -56,11 +62,11 @@ def reconstruct(
             on = [KEY, SLICE]
     joined = cutoffs.join(rows, on, "left" if keep_unmatched else "inner")
     return joined.groupBy(KEY, *by).agg(
-        latest("feature_value", AVAILABLE, ties=ties).alias("observed_value"),
-        latest("feature_value", AVAILABLE, known_by(AVAILABLE, CUTOFF), ties).alias(
+        latest("feature_value", _available(), ties=ties).alias("observed_value"),
+        latest("feature_value", _available(), known_by(_available(), _cutoff()), ties).alias(
             "point_in_time_value"
         ),
-        F.count_if(after_cutoff(AVAILABLE, CUTOFF)).alias("excluded_records"),
+        F.count_if(after_cutoff(_available(), _cutoff())).alias("excluded_records"),
     )
 
 
@@ -104,14 +110,14 @@ def reconstruct_wide(
         )
     )
     joined = cutoffs.join(moments, [KEY, SLICE], "full_outer")
-    known = known_by(AVAILABLE, CUTOFF)
+    known = known_by(_available(), _cutoff())
     present = F.col("n").isNotNull()
     per_feature = [
         column
         for i, _ in numbered
         for column in (
-            latest(f"hi_{i}", AVAILABLE).alias(f"observed_{i}"),
-            latest(f"hi_{i}", AVAILABLE, known).alias(f"pit_{i}"),
+            latest(f"hi_{i}", _available()).alias(f"observed_{i}"),
+            latest(f"hi_{i}", _available(), known).alias(f"pit_{i}"),
             F.sum(F.when(present, F.col("n") - F.col(f"n_{i}"))).alias(f"nulls_{i}"),
             F.count_if(F.col(f"lo_{i}") != F.col(f"hi_{i}")).alias(f"conflicts_{i}"),
         )
@@ -119,12 +125,12 @@ def reconstruct_wide(
     return joined.groupBy(KEY).agg(
         F.coalesce(F.bool_or("is_decision"), F.lit(False)).alias("is_decision"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("history_records"),
-        F.coalesce(F.sum(F.when(after_cutoff(AVAILABLE, CUTOFF), F.col("n"))), F.lit(0)).alias(
+        F.coalesce(F.sum(F.when(after_cutoff(_available(), _cutoff()), F.col("n"))), F.lit(0)).alias(
             "excluded_records"
         ),
         F.max("available_at").alias("latest_at"),
-        F.max(F.when(known, AVAILABLE)).alias("latest_known_at"),
-        F.count_if(present & (F.col(KEY).isNull() | AVAILABLE.isNull())).alias("broken_keys"),
+        F.max(F.when(known, _available())).alias("latest_known_at"),
+        F.count_if(present & (F.col(KEY).isNull() | _available().isNull())).alias("broken_keys"),
         *per_feature,
     )
 
@@ -142,7 +148,7 @@ def leaky_build(
     return decisions.join(reduced, key, "left").select(
         decision_key,
         F.coalesce("events", F.lit(0)).alias("event_count"),
-        day_boundaries(F.col("latest"), CUTOFF).alias("days_since_last"),
+        day_boundaries(F.col("latest"), _cutoff()).alias("days_since_last"),
     )
 
 
@@ -164,7 +170,7 @@ def guarded_build(
     line = (
         events.select(key, F.col(available).alias("_at"), F.col(counted).alias("_value"))
         .unionByName(
-            decisions.select(key, CUTOFF.alias("_at"), F.lit(True).alias("_asks")),
+            decisions.select(key, _cutoff().alias("_at"), F.lit(True).alias("_asks")),
             allowMissingColumns=True,
         )
         .dropna(subset=[key, "_at"])
@@ -185,5 +191,5 @@ def guarded_build(
     return decisions.join(answered, [key, "prediction_time"], "left").select(
         decision_key,
         F.coalesce("_count", F.lit(0)).alias("event_count"),
-        day_boundaries(F.col("_last"), CUTOFF).alias("days_since_last"),
+        day_boundaries(F.col("_last"), _cutoff()).alias("days_since_last"),
     )
