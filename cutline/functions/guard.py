@@ -170,7 +170,7 @@ def guard_status(plain: Column, references: Column, guarded: Column, target: str
     # The name occurs but was not read as a table: unknown, never clean.
     mentioned = plain.rlike(rf"(?<!{_LETTER}){_escaped(last_part(target))}(?!{_LETTER}|\.)")
     return (
-        F.when(~is_readable(plain), F.lit(INDETERMINATE))
+        F.when(~F.coalesce(is_readable(plain), F.lit(False)), F.lit(INDETERMINATE))
         .when((F.size(aliases) == 0) & mentioned, F.lit(INDETERMINATE))
         .when(F.size(aliases) == 0, F.lit(NOT_APPLICABLE))
         .when(F.size(F.array_except(aliases, guarded)) == 0, F.lit(SAFE))
