@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A trailing type letter is accepted by the JVM's number parser but is not data.
-_JVM_SUFFIX = r"[0-9.]\s*[dDfF]\s*$"
-
-
 def column(name: str) -> Column:
     """A column by its exact name, spaces and dots included."""
     if not isinstance(name, str) or not name.strip():
@@ -26,8 +22,9 @@ def instant(value: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    text = value.cast("string")
-    return F.when(~text.rlike(_JVM_SUFFIX), value.try_cast("double"))
+    """A double. The JVM reads a trailing type letter as part of a number; data does not."""
+    last = F.lower(F.right(F.rtrim(value.cast("string")), F.lit(1)))
+    return F.when(~last.isin("d", "f"), value.try_cast("double"))
 
 
 def class_label(value: Column) -> Column:

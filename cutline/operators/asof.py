@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from cutline.functions.timing import after_cutoff, day_boundaries, known_by
 from cutline.operators.ordered import running_totals
-from cutline.operators.spread import SLICE, SpreadPolicy, copy_rows, cut_rows, hot_keys
+from cutline.operators.spread import (
+    SLICE,
+    SpreadPolicy,
+    copy_rows,
+    cut_rows,
+    hot_keys,
+    is_stand_in,
+    scatter_nulls,
+)
 
 KEY = "entity_id"
 
@@ -56,8 +64,7 @@ def reconstruct(
     if spread.applies_to(rows):
         hot = hot_keys(rows, [KEY], spread)
         if hot is not None:
-            number = F.pmod(F.xxhash64(*rows.columns), F.coalesce(F.col("_slices"), F.lit(1)))
-            rows = rows.join(F.broadcast(hot), KEY, "left").withColumn(SLICE, number.cast("int"))
+            rows = cut_rows(rows, hot, [KEY], rows.columns)
             cutoffs = copy_rows(cutoffs, hot, [KEY])
             on = [KEY, SLICE]
     joined = cutoffs.join(rows, on, "left" if keep_unmatched else "inner")
@@ -79,23 +86,28 @@ def reconstruct_wide(
     """Rebuild many features at once and collect what the contract needs, in one shuffle.
 
     ``snapshots`` holds ``entity_id, available_at`` and one double column per feature. The
-    result has one row per entity of either side: ``is_decision``, ``history_records``,
+    result has one row per entity of either side (records without an entity appear under
+    stand-in keys): ``is_decision``, ``history_records``,
     ``excluded_records``, ``latest_at``, ``latest_known_at``, ``broken_keys`` and, for feature
     number i, ``observed_i``, ``pit_i``, ``nulls_i``, ``conflicts_i`` and ``late_i``.
     """
     numbered = list(enumerate(features))
+    values = [F.col(f"`{name}`").alias(f"f_{i}") for i, name in numbered]
     rows = snapshots.select(
-        KEY, "available_at", *[F.col(f"`{name}`").alias(f"f_{i}") for i, name in numbered]
+        scatter_nulls(KEY, *snapshots.columns).alias(KEY), "available_at", *values
     )
     cutoffs = decisions.select(KEY, "prediction_time", F.lit(True).alias("is_decision"))
+    on = [KEY]
     hot = hot_keys(rows, [KEY], spread) if spread.applies_to(rows) else None
-    # The slice depends on the time only, so the rows of one (entity, time) stay together.
-    rows = cut_rows(rows, hot, [KEY], ["available_at"])
-    cutoffs = copy_rows(cutoffs, hot, [KEY])
+    if hot is not None:
+        # The slice depends on the time only, so the rows of one (entity, time) stay together.
+        rows = cut_rows(rows, hot, [KEY], ["available_at"])
+        cutoffs = copy_rows(cutoffs, hot, [KEY])
+        on = [KEY, SLICE]
     moments = (
         # One exchange serves the grouping below and the join after it.
-        rows.repartition(KEY, SLICE)
-        .groupBy(KEY, SLICE, "available_at")
+        rows.repartition(*on)
+        .groupBy(*on, "available_at")
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[
@@ -109,7 +121,7 @@ def reconstruct_wide(
             ],
         )
     )
-    joined = cutoffs.join(moments, [KEY, SLICE], "full_outer")
+    joined = cutoffs.join(moments, on, "full_outer")
     known = known_by(_available(), _cutoff())
     present = F.col("n").isNotNull()
     per_feature = [
@@ -130,7 +142,7 @@ def reconstruct_wide(
         ),
         F.max("available_at").alias("latest_at"),
         F.max(F.when(known, _available())).alias("latest_known_at"),
-        F.count_if(present & (F.col(KEY).isNull() | _available().isNull())).alias("broken_keys"),
+        F.count_if(present & (is_stand_in(KEY) | _available().isNull())).alias("broken_keys"),
         *per_feature,
     )
 

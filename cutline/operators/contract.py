@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutline.functions import casting
 from cutline.functions.timing import known_by
@@ -78,19 +79,22 @@ def canonical_decisions(raw: DataFrame, binding: Binding) -> DataFrame:
         casting.instant(casting.column(binding.prediction_time)).alias("prediction_time"),
         casting.class_label(casting.column(binding.label)).alias("label"),
         casting.split_name(casting.column(binding.split)).alias("split_name"),
-        *[
-            casting.number(casting.column(name)).alias(f"base_{i}")
-            for i, name in enumerate(binding.base_features)
-        ],
-        casting.number(casting.column(binding.safe_feature)).alias("safe_feature"),
+        *[_number(raw, name).alias(f"base_{i}") for i, name in enumerate(binding.base_features)],
+        _number(raw, binding.safe_feature).alias("safe_feature"),
     )
 
 
+def _number(raw: DataFrame, name: str) -> Column:
+    value = casting.column(name)
+    is_text = isinstance(raw.select(value).schema[0].dataType, T.StringType)
+    return casting.number(value) if is_text else value.try_cast("double")
+
+
 def canonical_records(raw: DataFrame, entity_id: str, available: str, value: str) -> DataFrame:
     return raw.select(
         casting.key_text(casting.column(entity_id)).alias("entity_id"),
         casting.instant(casting.column(available)).alias("available_at"),
-        casting.number(casting.column(value)).alias("feature_value"),
+        _number(raw, value).alias("feature_value"),
     )
 
 
@@ -100,7 +104,7 @@ def canonical_snapshots(
     return raw.select(
         casting.key_text(casting.column(entity_id)).alias("entity_id"),
         casting.instant(casting.column(available)).alias("available_at"),
-        *[casting.number(casting.column(name)).alias(name) for name in features],
+        *[_number(raw, name).alias(name) for name in features],
     )
 
 

@@ -3,25 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import guard
 
 
-def read_queries(corpus: DataFrame, available: str, prediction: str) -> DataFrame:
-    """Reduce each text once; every nominated table is then judged on the same columns."""
+def read_queries(
+    corpus: DataFrame, available: str, prediction: str, targets: Sequence[str] = ()
+) -> DataFrame:
+    """Reduce each text once; every nominated table is then judged on the same columns.
+
+    With ``targets``, a text that never contains the name of one is not read for tables and
+    guards: most of a corpus, as a rule.
+    """
+    names = [F.lower("sql").contains(guard.last_part(target)) for target in targets]
+    touched = reduce(or_, names) if names else F.lit(True)
+
+    def when_touched(value: Column) -> Column:
+        return F.when(F.col("_touched"), value)
+
+    nothing = F.array().cast("array<string>")
+    no_table = F.array().cast("array<struct<name:string,alias:string>>")
     return (
-        corpus.withColumn("_plain", guard.plain_sql(guard.resolve_templating(F.col("sql"))))
-        .withColumn("_references", guard.table_references(F.col("_plain")))
-        .withColumn("_clauses", guard.clauses(F.col("_plain")))
-        .withColumn("_guarded", guard.guarded_aliases(F.col("_clauses"), available, prediction))
+        corpus.withColumn("_touched", touched)
+        .withColumn("_plain", guard.plain_sql(guard.resolve_templating(F.col("sql"))))
+        .withColumn(
+            "_references",
+            F.coalesce(when_touched(guard.table_references(F.col("_plain"))), no_table),
+        )
+        .withColumn("_clauses", when_touched(guard.clauses(F.col("_plain"))))
+        .withColumn(
+            "_guarded",
+            F.coalesce(guard.guarded_aliases(F.col("_clauses"), available, prediction), nothing),
+        )
         .withColumn(
             "cutoff_predicates",
-            guard.cutoff_predicates(F.col("_clauses"), available, prediction),
+            F.coalesce(guard.cutoff_predicates(F.col("_clauses"), available, prediction), nothing),
         )
-        .drop("_clauses")
+        .drop("_clauses", "_touched")
     )
 
 
@@ -59,7 +82,7 @@ def scan_corpus(
     if not post_outcome_tables:
         raise ValueError("at least one post-outcome table is required")
     plain, references, guarded = F.col("_plain"), F.col("_references"), F.col("_guarded")
-    judged = read_queries(corpus, available, prediction)
+    judged = read_queries(corpus, available, prediction, post_outcome_tables)
     names = [f"_status_{i}" for i in range(len(post_outcome_tables))]
     judged = judged.withColumns(
         {

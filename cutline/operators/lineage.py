@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,42 +21,32 @@ def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
     pairs = settle(pairs.select("source", "target").distinct())
     steps = settle(edges.select("src_node", "dst_node").dropna().distinct())
     asked = not steps.isEmpty()
-    # One walk per source serves all its targets.
-    open_targets = pairs
-    frontier = settle(
-        pairs.select("source").distinct().select("source", F.col("source").alias("node"))
-        .withColumn("path", F.array("source"))
+    # One walk per source serves all its targets; a source whose targets are found stops.
+    open_pairs = pairs
+    frontier = pairs.select("source").distinct().select(
+        "source", F.col("source").alias("node"), F.array("source").alias("path")
     )
-    visited = frontier.select("source", "node")
+    walked: list[DataFrame] = []
     answers: list[DataFrame] = []
     for hop in range(max_hops + 1):
-        hits = settle(
-            open_targets.join(
-                frontier.withColumnRenamed("node", "target"), ["source", "target"], "inner"
-            ).select("source", "target", F.lit(hop).alias("hops"), "path")
-        )
-        answers.append(hits)
-        open_targets = settle(
-            open_targets.join(hits.select("source", "target"), ["source", "target"], "left_anti")
-        )
-        if hop == max_hops or open_targets.isEmpty():
+        frontier = settle(frontier)
+        walked.append(frontier.select("source", "node"))
+        arrived = frontier.withColumnRenamed("node", "target")
+        met = settle(open_pairs.join(arrived, ["source", "target"], "left"))
+        answers.append(met.where(F.col("path").isNotNull()).withColumn("hops", F.lit(hop)))
+        open_pairs = met.where(F.col("path").isNull()).drop("path")
+        if hop == max_hops or open_pairs.isEmpty():
             break
-        waiting = open_targets.select("source").distinct()
-        # The via label is dropped, equal steps collapse and the smallest path text wins.
-        reached = (
-            frontier.join(waiting, "source", "left_semi")
+        # Several ways to one node collapse before they are shuffled; the smallest text wins.
+        frontier = (
+            frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
             .join(steps, F.col("node") == F.col("src_node"))
             .groupBy("source", F.col("dst_node").alias("node"))
             .agg(F.min("path").alias("path"))
-            .join(visited, ["source", "node"], "left_anti")
+            .join(reduce(DataFrame.unionByName, walked), ["source", "node"], "left_anti")
+            .withColumn("path", F.concat("path", F.array("node")))
         )
-        frontier = settle(reached.withColumn("path", F.concat("path", F.array("node"))))
-        if frontier.isEmpty():
-            break
-        visited = settle(visited.unionByName(frontier.select("source", "node")))
-    found = answers[0]
-    for more in answers[1:]:
-        found = found.unionByName(more)
+    found = reduce(DataFrame.unionByName, answers)
     answered = pairs.join(found, ["source", "target"], "left")
     return answered.select(
         "source",

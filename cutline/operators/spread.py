@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.session import is_small, settle
 
 SLICE = "_slice"
+STAND_IN = "\u0000null-"
 _SCATTER = 1024
 
 
@@ -36,6 +35,16 @@ class SpreadPolicy:
         return not is_small(frame) if self.enabled is None else self.enabled
 
 
+def scatter_nulls(key: str, *values: str) -> Column:
+    """The key, with NULLs replaced by many distinct stand-ins: they match nothing anyway."""
+    stand_in = F.concat(F.lit(STAND_IN), F.pmod(F.xxhash64(*values), F.lit(_SCATTER)).cast("string"))
+    return F.coalesce(F.col(key), stand_in)
+
+
+def is_stand_in(key: str) -> Column:
+    return F.coalesce(F.col(key).startswith(STAND_IN), F.lit(False))
+
+
 def hot_keys(frame: DataFrame, keys: list[str], policy: SpreadPolicy) -> DataFrame | None:
     """The settled table ``keys..., _slices`` of hot keys, or None when there are none."""
     rows = F.count(F.lit(1)) / F.lit(policy.sample_fraction)
@@ -55,26 +64,15 @@ def hot_keys(frame: DataFrame, keys: list[str], policy: SpreadPolicy) -> DataFra
     return None if settled.isEmpty() else settled
 
 
-def cut_rows(frame: DataFrame, hot: DataFrame | None, keys: list[str], by: list[str]) -> DataFrame:
-    """Add a slice number to the many-rows side; equal ``by`` values share a slice.
+def cut_rows(frame: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Add a slice number to the many-rows side; equal ``by`` values share a slice."""
+    number = F.pmod(F.xxhash64(*by), F.coalesce(F.col("_slices"), F.lit(1)))
+    marked = frame.join(F.broadcast(hot), keys, "left")
+    return marked.withColumn(SLICE, number.cast("int")).drop("_slices")
 
-    Rows without a key or without a ``by`` value can match nothing, so they are scattered.
-    """
-    number = F.lit(0)
-    if hot is not None:
-        frame = frame.join(F.broadcast(hot), keys, "left")
-        number = F.pmod(F.xxhash64(*by), F.coalesce(F.col("_slices"), F.lit(1)))
-    broken = reduce(or_, [F.col(c).isNull() for c in [*keys, *by]])
-    scattered = F.pmod(F.xxhash64(*frame.columns), F.lit(_SCATTER))
-    return frame.withColumn(
-        SLICE, F.when(broken, scattered).otherwise(number).cast("int")
-    ).drop("_slices")
-
-
-def copy_rows(frame: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
+
+def copy_rows(frame: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """Give the one-row-per-key side one copy per slice of its key."""
-    if hot is None:
-        return frame.withColumn(SLICE, F.lit(0))
     marked = frame.join(F.broadcast(hot), keys, "left")
     numbers = F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)
     return marked.withColumn(SLICE, F.explode(numbers)).drop("_slices")

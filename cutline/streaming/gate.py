@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +28,9 @@ PROOF = (
     "batch_id bigint"
 )
 
+_NAMES = "entityUrn string, urn string, entityType string"
+_ENVELOPE = f"{_NAMES}, meta string, event struct<{_NAMES}>"
+
 
 @dataclass(frozen=True)
 class GateConfig:
@@ -47,24 +50,15 @@ def parse_events(raw: DataFrame) -> DataFrame:
     The asset is ``entityUrn``, else ``urn``; the type falls back to the one in the URN.
     """
     text = F.trim(F.col("body"))
-    payload = F.when(text.startswith('"'), F.get_json_object(text, "$")).otherwise(text)
-
-    def read(name: str) -> Column:
-        return F.coalesce(
-            F.get_json_object("_payload", f"$.{name}"),
-            F.get_json_object("_payload", f"$.event.{name}"),
-        )
-
-    urn = F.coalesce(read("entityUrn"), read("urn"))
+    unwrapped = F.when(text.startswith('"'), F.get_json_object(text, "$")).otherwise(text)
+    read = raw.withColumn("_read", F.from_json(unwrapped, _ENVELOPE))
+    fields = ("_read.entityUrn", "_read.urn", "_read.event.entityUrn", "_read.event.urn")
+    kind = F.coalesce(F.col("_read.entityType"), F.col("_read.event.entityType"))
     return (
-        raw.withColumn("_payload", payload)
-        .withColumn("urn", urn)
-        .withColumn("entity_type", F.coalesce(read("entityType"), entity_type(F.col("urn"))))
-        .withColumn(
-            "event_key",
-            event_key(F.col("urn"), F.col("body"), F.get_json_object("_payload", "$.meta")),
-        )
-        .drop("_payload")
+        read.withColumn("urn", F.coalesce(*[F.col(name) for name in fields]))
+        .withColumn("entity_type", F.coalesce(kind, entity_type(F.col("urn"))))
+        .withColumn("event_key", event_key(F.col("urn"), F.col("body"), F.col("_read.meta")))
+        .drop("_read")
     )
 
 
@@ -82,9 +76,8 @@ def unseen(events: DataFrame, proof: DataFrame) -> DataFrame:
     The batch is small next to the proof table, so the table is only filtered by the batch's
     keys and never shuffled whole; Spark broadcasts the keys when they are few.
     """
-    batch = events.dropDuplicates(["event_key"])
-    seen = proof.select("event_key").join(batch.select("event_key"), "event_key", "left_semi")
-    return batch.join(seen, "event_key", "left_anti")
+    seen = proof.select("event_key").join(events.select("event_key"), "event_key", "left_semi")
+    return events.join(seen, "event_key", "left_anti")
 
 
 def audit_events(events: DataFrame, cases: DataFrame) -> DataFrame:
@@ -132,7 +125,9 @@ def run_batch(batch: DataFrame, batch_id: int, cases: DataFrame, config: GateCon
     to the rejects of its batch and is audited again when it is delivered again.
     """
     spark = batch.sparkSession
-    fresh = unseen(watched(parse_events(batch), config), read_proof(spark, config))
+    # The batch is read once, though it is looked up and joined.
+    events = watched(parse_events(batch), config).dropDuplicates(["event_key"]).persist()
+    fresh = unseen(events, read_proof(spark, config))
     judged = settle(audit_events(fresh, cases).withColumn("batch_id", F.lit(batch_id)))
     failed = judged.where(F.col("error").isNotNull())
     failed.select("event_key", "urn", "body", "error").write.mode("overwrite").parquet(
@@ -146,6 +141,7 @@ def run_batch(batch: DataFrame, batch_id: int, cases: DataFrame, config: GateCon
         )
     columns = [field.split()[0] for field in PROOF.split(", ")]
     passed.select(*columns).write.mode("append").parquet(f"{config.store}/proof")
+    events.unpersist()
 
 
 def start_gate(
