@@ -14,7 +14,7 @@ from cutline.catalog.inputs import (
 )
 from cutline.catalog.registry import register, table
 from cutline.functions.timing import after_cutoff, gap_days, gap_label, is_late, known_by, plus_days
-from cutline.operators.asof import guarded_build, leaky_build, reconstruct
+from cutline.operators.asof import guarded_build, leaky_build, reconstruct, stacked_history
 from cutline.operators.contract import (
     conflicting_records,
     decisions_without_known_record,
@@ -57,6 +57,21 @@ def reconstruct_features(spark, folder):
     return reconstruct(user_decisions(spark, folder), user_records(spark, folder), by=["feature"])
 
 
+@register(
+    "stacked_history",
+    f"""WITH {ORDERS_SQL}
+SELECT entity_id, {_LATEST} AS observed_value, {_LATEST} {_KNOWN} AS point_in_time_value,
+       {_LATE} AS excluded_records {_JOINED} GROUP BY entity_id""",
+)
+def stacked(spark, folder):
+    """Records before and after the decision, kept apart and stacked again."""
+    decisions, history = order_decisions(spark, folder), order_records(spark, folder)
+    dated = history.join(decisions, "entity_id")
+    before = dated.where("available_at <= prediction_time").drop("prediction_time")
+    after = dated.where("available_at > prediction_time").drop("prediction_time")
+    return reconstruct(decisions, stacked_history(before, after))
+
+
 @register(
     "observed_latest",
     f"WITH {USERS_SQL} SELECT entity_id, {_LATEST} AS observed_value {_JOINED} GROUP BY entity_id",

@@ -200,7 +200,10 @@ def event_texts(spark, folder):
     return scan_corpus(log, [PAYMENTS]).select("event_id", "status")
 
 
-@register("scan_folder", None)
+@register(
+    "scan_folder",
+    f"SELECT {_BOTH} AS status, count(*) AS texts FROM documents GROUP BY ALL",
+)
 def scan_folder(spark, folder):
     """The corpus written as a table of texts and scanned from there."""
     path = fresh_path(spark, "corpus")

@@ -308,6 +308,15 @@ def medians(spark, folder):
     )
 
 
+@register(
+    "total_runtime",
+    f"WITH {RUNS_SQL} SELECT round(sum(runtime_seconds), 3) AS total_runtime_seconds FROM runs",
+)
+def total_runtime(spark, folder):
+    seconds = F.sum("runtime_seconds")
+    return runs(spark, folder).agg(F.round(seconds, 3).alias("total_runtime_seconds"))
+
+
 @register(
     "latest_run",
     f"""WITH {RUNS_SQL}

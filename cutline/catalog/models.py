@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +125,39 @@ def scales(spark, folder):
     return spark.createDataFrame(rows, "feature string, n bigint, mean double, deviation double")
 
 
+_CUSTOMERS = """
+spans AS (
+  SELECT o_custkey, (epoch_us(min(o_orderdate)) + epoch_us(max(o_orderdate))) // 2 AS mid FROM orders GROUP BY 1),
+facts AS (
+  SELECT c_custkey AS k, mid, CAST((c_custkey * 104729) % 997 AS DOUBLE) / 997 AS prior,
+    c_acctbal / 10000 AS debt, CAST((c_custkey * 7919 + 13) % 1009 AS DOUBLE) / 1009 AS noise
+  FROM customer JOIN spans ON c_custkey = o_custkey),
+customers AS (
+  SELECT *, CASE WHEN prior * 1.6::DOUBLE + debt * 0.6::DOUBLE + noise >= 1.75 THEN 1 ELSE 0 END AS label FROM facts),
+tested AS (
+  SELECT label, 'prior' AS model, prior * 10 AS score FROM customers WHERE (k * 31) % 10 >= 7
+  UNION ALL SELECT label, 'debt', debt FROM customers WHERE (k * 31) % 10 >= 7),
+counted AS (
+  SELECT model, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+  FROM tested GROUP BY model, score),
+running AS (
+  SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY score) - neg AS lower FROM counted)
+"""
+
+
+@register(
+    "fit_single_features",
+    f"""WITH {_CUSTOMERS}
+SELECT model, round(sum(pos * (lower + neg / 2.0))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE, 6) AS auc,
+  sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives FROM running GROUP BY model""",
+)
+def fitted_singles(spark, folder):
+    """A fit on one feature ranks rows as the feature does, so its AUC has an exact SQL twin."""
+    frame = settle(customer_decisions(spark, folder))
+    fits = fit_models(frame, {"prior": ["safe_feature"], "debt": ["base_0"]})
+    return exact_auc(scores(frame, fits)).withColumn("auc", F.round("auc", 6))
+
+
 @register("fit_and_score", None)
 def fitted(spark, folder):
     """AUC of a base model and of one with the leaked column, fitted on train rows."""
@@ -149,6 +184,96 @@ def swept(spark, folder) -> DataFrame:
     return sweep(customer_scenario(spark, folder))
 
 
+# With a constant base column every fit ranks rows by its one feature, in the direction of the
+# feature's covariance with the label, so the whole sweep has an exact SQL twin.
+_EXACT = f"""WITH {_CUSTOMERS},
+history AS (
+  SELECT DISTINCT k, label, prior * 10 AS safe, o_orderdate AS t, epoch_us(o_orderdate) > mid AS late,
+    CAST((k * 5077 + date_diff('day', TIMESTAMP '1992-01-01', o_orderdate)) % 101 AS DOUBLE) / 101 AS wobble
+  FROM customers JOIN orders ON o_custkey = k),
+valued AS (
+  SELECT k, label, t, late, 18 + safe + 20 * wobble AS honest_history, safe + wobble AS strong_honest,
+    CASE WHEN label = 1 THEN 150 + 12 * wobble ELSE 4 + 2 * wobble END AS planted FROM history),
+wide AS (
+  SELECT k, label, t, late, honest_history, strong_honest,
+    CASE WHEN late THEN planted ELSE honest_history END AS days_since_last,
+    CASE WHEN late AND (k * 613) % 100 < 25 THEN planted ELSE honest_history END AS partly_leaked
+  FROM valued),
+long AS (
+  UNPIVOT wide ON honest_history, strong_honest, days_since_last, partly_leaked INTO NAME feature VALUE v),
+rebuilt AS (
+  SELECT feature, k, label, arg_max(v, t) AS observed, arg_max(v, t) FILTER (WHERE NOT late) AS point_in_time
+  FROM long GROUP BY feature, k, label),
+sides AS (
+  UNPIVOT rebuilt ON observed, point_in_time INTO NAME side VALUE x),
+signs AS (
+  SELECT feature, side, CASE WHEN covar_pop(label, x) < 0 THEN -1 ELSE 1 END AS direction
+  FROM sides WHERE (k * 31) % 10 < 7 GROUP BY feature, side),
+ranked AS (
+  SELECT feature, side, x * direction AS score, label FROM sides JOIN signs USING (feature, side)
+  WHERE (k * 31) % 10 >= 7),
+tally AS (
+  SELECT feature, side, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+  FROM ranked GROUP BY ALL),
+below AS (
+  SELECT *, sum(neg) OVER (PARTITION BY feature, side ORDER BY score) - neg AS lower FROM tally),
+aucs AS (
+  SELECT feature, side, round(sum(pos * (lower + neg / 2.0))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE, 6) AS auc
+  FROM below GROUP BY ALL),
+pairs AS (
+  SELECT feature, 0.5::DOUBLE AS baseline_auc, max(auc) FILTER (WHERE side = 'observed') AS observed_auc,
+    max(auc) FILTER (WHERE side = 'point_in_time') AS point_in_time_auc FROM aucs GROUP BY feature),
+compared AS (
+  SELECT *, round(observed_auc - baseline_auc, 6) AS observed_advantage,
+    round(point_in_time_auc - baseline_auc, 6) AS point_in_time_advantage FROM pairs),
+shared AS (
+  SELECT *, CASE WHEN observed_advantage > 0 THEN point_in_time_advantage / observed_advantage ELSE 1.0 END AS share
+  FROM compared),
+late_rows AS (
+  SELECT count(*) AS excluded FROM customers JOIN orders ON o_custkey = k WHERE epoch_us(o_orderdate) > mid),
+findings AS (
+  SELECT feature, 'evaluated' AS status, baseline_auc, observed_auc, point_in_time_auc, observed_advantage,
+    round(share, 6) AS advantage_retained, observed_advantage >= 0.05 AND share <= 0.5 AS collapsed,
+    round(observed_advantage * (1 - round(share, 6)), 6) AS advantage_lost,
+    excluded AS excluded_post_cutoff_records FROM shared, late_rows)
+"""
+
+
+def exact_scenario(spark, folder, features=CANDIDATES) -> Scenario:
+    scenario = customer_scenario(spark, folder, features)
+    flat = scenario.decisions.withColumn("base_0", F.lit(1.0)).drop("base_1")
+    return replace(scenario, decisions=flat, base_width=1)
+
+
+@register(
+    "sweep_features_exact",
+    f"""{_EXACT}
+SELECT * FROM findings UNION ALL
+SELECT 'gappy', 'could_not_evaluate', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
+)
+def swept_exactly(spark, folder) -> DataFrame:
+    return sweep(exact_scenario(spark, folder)).drop("position", "reason", "point_in_time_advantage")
+
+
+@register(
+    "validate_feature_exact",
+    f"""{_EXACT}
+SELECT baseline_auc, observed_auc, point_in_time_auc, observed_advantage, advantage_retained, collapsed,
+  excluded_post_cutoff_records, CASE WHEN collapsed THEN 'confirmed' ELSE 'high_confidence' END AS verdict
+FROM findings WHERE feature = 'days_since_last'""",
+)
+def validated_exactly(spark, folder) -> DataFrame:
+    report = validate(exact_scenario(spark, folder, CANDIDATES[:1]))
+    leak = report["leakage_case"]
+    names = ("baseline_auc", "observed_auc", "point_in_time_auc", "observed_advantage", "advantage_retained", "collapsed")
+    row = [leak[n] for n in names]
+    row += [report["reconstruction"]["excluded_post_cutoff_records"], report["verdict"]]
+    schema = ", ".join(f"{n} {'boolean' if n == 'collapsed' else 'double'}" for n in names)
+    return spark.createDataFrame(
+        [row], schema + ", excluded_post_cutoff_records bigint, verdict string"
+    )
+
+
 @register("audit_bundle", None)
 def audited(spark, folder) -> DataFrame:
     scenario = customer_scenario(spark, folder, ("partly_leaked",))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,6 +148,11 @@ def reconstruct_wide(
     )
 
 
+def stacked_history(*generations: DataFrame) -> DataFrame:
+    """Several generations of records as one history."""
+    return reduce(DataFrame.unionByName, generations)
+
+
 def leaky_build(
     decisions: DataFrame, events: DataFrame, key: str, decision_key: str, counted: str
 ) -> DataFrame:

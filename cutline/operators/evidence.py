@@ -163,7 +163,14 @@ def publish(bundles: DataFrame, store: str, approved: bool = False) -> DataFrame
             on = ["document_id", "target_urn"]
         else:
             reread, on = reread.where(F.col("state") == "ACTIVE"), ["target_urn", "title"]
-        found = reread.select(*on).distinct().withColumn(checks[table], F.lit(True))
+        # Only this publication's keys are looked for, however large the store has grown.
+        asked = result.select(*on).distinct()
+        found = (
+            reread.select(*on)
+            .join(asked, on, "left_semi")
+            .distinct()
+            .withColumn(checks[table], F.lit(True))
+        )
         result = result.join(found, on, "left").withColumn(
             checks[table],
             F.when(F.col("refusal").isNull(), F.coalesce(checks[table], F.lit(False))),

@@ -14,9 +14,12 @@ from cutline.operators.integrity import (
     missing_fields,
     sidecar_differences,
 )
+from cutline.session import settle
 from cutline.sources.corpus import read_sql_corpus
 from cutline.sources.manifests import read_file_hashes, read_manifest, read_sidecar
 
+REPORTED_ERRORS = 100
+_QUERIES = ("transformation.sql", "remediation.sql")
 _CASE = (
     "case_id string, model_urn string, feature_urn string, lineage_path array<string>, "
     "source_kind string, source_available_at string, prediction_time string, expected_verdict string"
@@ -27,13 +30,14 @@ _SIDE = "struct<observed_advantage: double, collapsed: boolean>"
 def replay(spark: SparkSession, root: str, post_outcome_table: str) -> dict:
     """Nine checks of a fixture folder; any damaged file fails it before anything is judged."""
     root = root.rstrip("/")
-    manifest = read_manifest(spark, root).cache()
-    errors = [
-        row["error"]
-        for row in integrity_errors(manifest, read_file_hashes(spark, root)).orderBy("error").collect()
-    ]
+    manifest = read_manifest(spark, root)
+    damage = settle(integrity_errors(manifest, read_file_hashes(spark, root)))
+    # The report names the first errors; `integrity_errors` gives them all.
+    errors = [row["error"] for row in damage.orderBy("error").limit(REPORTED_ERRORS).collect()]
+    error_count = damage.count()
     if not sidecar_differences(manifest, read_sidecar(spark, root)).isEmpty():
         errors.append("hashes.txt does not match manifest.json")
+        error_count += 1
     header = spark.read.schema(
         "fixture_id string, expected struct<leakage_verdict: string, safe_control_verdict: string, "
         "release_decision: string, transformation_status: string, remediation_status: string>"
@@ -43,14 +47,13 @@ def replay(spark: SparkSession, root: str, post_outcome_table: str) -> dict:
             "fixture_id": header["fixture_id"],
             "status": "integrity_failed",
             "errors": errors,
+            "error_count": error_count,
             "exit_code": 2,
         }
     cases = {row["side"]: row for row in recorded_cases(spark, root).collect()}
     leak, safe = cases["leakage_case"], cases["safe_control"]
-    queries = {
-        row["path"]: row["status"]
-        for row in verify_queries(read_sql_corpus(spark, root), post_outcome_table).collect()
-    }
+    both = read_sql_corpus(spark, root).where(F.col("path").isin(*_QUERIES))
+    queries = {r["path"]: r["status"] for r in verify_queries(both, post_outcome_table).collect()}
     entity = read_entity(spark, root)
     lineage = read_lineage(spark, root).first()
     tagged = entity.where(
@@ -72,9 +75,9 @@ def replay(spark: SparkSession, root: str, post_outcome_table: str) -> dict:
         "release_decision_matches_ground_truth": leak["release_decision"]
         == leak["expected_release_decision"]
         == expected["release_decision"],
-        "transformation_violation_reproduced": queries.get("transformation.sql")
+        "transformation_violation_reproduced": queries.get(_QUERIES[0])
         == expected["transformation_status"],
-        "remediation_safe_reproduced": queries.get("remediation.sql")
+        "remediation_safe_reproduced": queries.get(_QUERIES[1])
         == expected["remediation_status"],
     }
     held = all(checks.values())

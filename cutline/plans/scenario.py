@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,12 +107,15 @@ class Scenario:
     control: str | None = None
     missing_features: tuple[str, ...] = field(default=())
     kind: str = "files"
+    config_sha256: str | None = None
+    inputs: dict[str, Relation] = field(default_factory=dict)
 
 
 def load_scenario(spark: SparkSession, path: str) -> Scenario:
     """Read a scenario file and bind its tables; no data is read yet."""
-    with open(path, encoding="utf-8") as handle:
-        config = json.load(handle)
+    with open(path, "rb") as handle:
+        raw = handle.read()
+    config = json.loads(raw)
     adapter = config.get("point_in_time_adapter")
     if not isinstance(adapter, dict):
         raise ContractError("point_in_time_adapter must be a JSON object")
@@ -137,7 +140,7 @@ def load_scenario(spark: SparkSession, path: str) -> Scenario:
         float(collapse.get("maximum_advantage_retained", Rules.max_retained)),
         float(control.get("minimum_ablation_delta", Rules.min_control_delta)),
     )
-    return bind_scenario(
+    scenario = bind_scenario(
         name=str(config.get("scenario")),
         rules=rules,
         identity=Identity.from_config(config.get("audit_evidence", {})),
@@ -147,6 +150,11 @@ def load_scenario(spark: SparkSession, path: str) -> Scenario:
         prediction_time=config.get("prediction_time"),
         kind=kind,
     )
+    return replace(
+        scenario,
+        config_sha256=hashlib.sha256(raw).hexdigest(),
+        inputs={"applications": decisions, history_key: history},
+    )
 
 
 def bind_scenario(
@@ -180,9 +188,3 @@ def bind_scenario(
         missing_features=tuple(n for n in wanted if n not in present),
         kind=kind,
     )
-
-
-def candidates(scenario: Scenario, declared: Sequence[str], safe_feature: str | None) -> list[str]:
-    """Columns to sweep: the declared ones, else the audited one, without the safe control."""
-    names = list(declared) or list(scenario.features[:1])
-    return [name for name in names if name != safe_feature]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from cutline.operators.scoring import Fit, fit_models, model_aucs
 from cutline.operators.spread import SpreadPolicy
 from cutline.plans.scenario import Rules, Scenario
 from cutline.session import settle
+from cutline.sources.relations import input_summary
 
 BASELINE = "baseline"
 CONTROL = "control"
@@ -157,6 +159,7 @@ def validate(scenario: Scenario, spread: SpreadPolicy = SpreadPolicy(), parallel
     ``self_check`` says whether the planted-leak checks held; ``verdicts`` say what is true of
     the features. The two are never mixed.
     """
+    started = time.perf_counter()
     if not scenario.features:
         raise ContractError("the audited feature is not in the history")
     check_decisions(scenario)
@@ -178,7 +181,9 @@ def validate(scenario: Scenario, spread: SpreadPolicy = SpreadPolicy(), parallel
         models[CONTROL] = [*base, rebuilt.observed(control)]
         models[CONTROL_REBUILT] = [*base, rebuilt.point_in_time(control)]
     aucs = model_aucs(rebuilt.frame, fit_models(rebuilt.frame, models, parallelism))
-    return _report(scenario, rebuilt, aucs, control_rebuilt)
+    report = _report(scenario, rebuilt, aucs, control_rebuilt)
+    report["runtime_seconds"] = round(time.perf_counter() - started, 6)
+    return report
 
 
 def _report(scenario: Scenario, rebuilt: Rebuilt, aucs: Mapping[str, float], control_rebuilt: bool) -> dict:
@@ -213,6 +218,7 @@ def _report(scenario: Scenario, rebuilt: Rebuilt, aucs: Mapping[str, float], con
     return {
         "schema_version": 1,
         "scenario": scenario.name,
+        "config_sha256": scenario.config_sha256,
         "rows": rules.train_rows + rules.test_rows,
         "self_check": {"status": "passed" if all(checks.values()) else "failed", "checks": checks},
         "reconstruction": {
@@ -220,6 +226,7 @@ def _report(scenario: Scenario, rebuilt: Rebuilt, aucs: Mapping[str, float], con
             "cutoff_predicate": "available_at <= prediction_time",
             "excluded_post_cutoff_records": rebuilt.excluded,
             "kind": scenario.kind,
+            "input": {key: input_summary(spark, table) for key, table in scenario.inputs.items()},
         },
         "evidence_context": {
             "leakage_feature_name": identity.leakage_feature_name,

@@ -72,3 +72,21 @@ def fingerprint(spark: SparkSession, path: str, form: str) -> DataFrame:
         .select("path", F.sha2(described, 256).alias("sha256"), F.col("length").alias("bytes"))
     )
     return small.unionByName(large).withColumn("format", F.lit(form))
+
+
+def input_summary(spark: SparkSession, relation: Relation) -> dict[str, Any]:
+    """What was read, in one row: files, bytes and a hash over all files in any order."""
+    if relation.format == "table":
+        return {"path": relation.path, "format": relation.format}
+    files = fingerprint(spark, relation.path, relation.format)
+    row = files.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("bytes").alias("bytes"),
+        F.lower(F.hex(F.bit_xor(F.xxhash64(F.substring_index("path", "/", -1), "sha256")))).alias("digest"),
+        F.max("sha256").alias("sha256"),
+    ).first()
+    summary = {"path": os.path.basename(relation.path.rstrip("/")), "format": relation.format}
+    summary.update(files=row["files"], bytes=row["bytes"], digest=row["digest"])
+    if row["files"] == 1:
+        summary["sha256"] = row["sha256"]
+    return summary
