@@ -26,14 +26,27 @@ _NOT_AN_ALIAS = (
     "having limit union intersect except window qualify select from and or set values as when then "
     "else end tablesample fetch offset for asof positional"
 ).split()
+# How a readable statement may begin; prose that opens with such a word does not go on like this.
 _STATEMENTS = (
-    "select with insert create update delete merge replace explain values table refresh copy"
-).split()
+    r"with\s+(?:recursive\s+)?[^\s()]+\s*(?:\([^()]*\)\s*)?as\s+(?:not\s+)?(?:materialized\s+)?\(",
+    r"select\b",
+    r"from\s+\S+\s",
+    r"insert\s+(?:into|overwrite)\b",
+    r"update\s+\S+\s+(?:as\s+)?(?:\S+\s+)?set\b",
+    r"delete\s+from\b",
+    r"merge\s+into\b",
+    r"create\s+(?:or\s+replace\s+)?(?:\S+\s+){0,3}?(?:table|view|schema|function|procedure|index)\b",
+    r"replace\s+(?:into|table|view)\b",
+    r"values\s*\(",
+    r"copy\s+(?:into\s+)?\S+\s+from\b",
+    r"refresh\s+(?:table|materialized)\b",
+)
 
 _PLACEHOLDER = "_templated_"
 _NESTING = 6
-_LETTER = r"[\p{L}\p{N}_$]"
-_NAME = r"[\p{L}\p{N}_$.\-]+"
+# Letters of a name; everything beyond ASCII counts as a letter.
+_LETTER = r"[a-z0-9_$\u0080-\uffff]"
+_NAME = r"[a-z0-9_$.\u0080-\uffff\-]+"
 
 
 def resolve_templating(sql: Column) -> Column:
@@ -48,7 +61,7 @@ def resolve_templating(sql: Column) -> Column:
         (r"\{\{-?\s*ref\s*\(\s*" + name + r"\s*\)\s*-?\}\}", "$1"),
         (r"(?s)\{\{.*?\}\}", _PLACEHOLDER),
     ]
-    return _rewrite(sql, steps)
+    return F.when(sql.contains("{"), _rewrite(sql, steps)).otherwise(sql)
 
 
 def plain_sql(sql: Column) -> Column:
@@ -71,22 +84,22 @@ def plain_sql(sql: Column) -> Column:
 def table_references(plain: Column) -> Column:
     """Array of ``struct(name, alias)`` for every table after FROM, JOIN or a list comma."""
     keyword = r"(?:" + "|".join(_NOT_AN_ALIAS) + r")\b"
-    reference = rf"({_NAME})(?:\s+(?:as\s+)?(?!{keyword})({_LETTER}+))?"
+    reference = rf"({_NAME}(?:\s+(?:as\s+)?(?!{keyword}){_LETTER}+)?)"
     after_word = r"\b(?:from|join)\s+(?:lateral\s+)?" + reference
     list_end = r"(?=\b(?:where|join|left|right|inner|full|cross|group|order|having|limit|union|select)\b|[();]|$)"
     # A FROM list is cut out first, then read from its second entry on.
     lists = F.regexp_extract_all(plain, F.lit(r"\bfrom\s+([^();]*?)" + list_end), F.lit(1))
 
     def found(text: Column, pattern: str) -> Column:
-        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        aliases = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-        return F.zip_with(
-            names,
-            aliases,
-            lambda name, alias: F.struct(
-                name.alias("name"),
-                F.when(alias != "", alias)
-                .otherwise(F.element_at(F.split(name, r"\."), -1))
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        name = rf"^({_NAME})"
+        alias = rf"^{_NAME}\s+(?:as\s+)?({_LETTER}+)$"
+        return F.transform(
+            whole,
+            lambda w: F.struct(
+                F.regexp_extract(w, name, 1).alias("name"),
+                F.when(w.contains(" "), F.regexp_extract(w, alias, 1))
+                .otherwise(F.element_at(F.split(w, r"\."), -1))
                 .alias("alias"),
             ),
         )
@@ -103,38 +116,39 @@ def referenced_tables(references: Column) -> Column:
 def clauses(plain: Column) -> Column:
     """Text cut at clause words, with function calls flattened, for reading comparisons."""
     text = F.regexp_replace(plain, r"\b(?:" + "|".join(_CLAUSE_WORDS) + r")\b", ";")
+    flat = text
     for _ in range(_NESTING):
-        text = F.regexp_replace(text, r",(?=[^();]*\))", " ")
-        text = F.regexp_replace(text, r"\(([^();,]*)\)", " $1 ")
-    return text
+        flat = F.regexp_replace(flat, r",(?=[^();]*\))", " ")
+        flat = F.regexp_replace(flat, r"\(([^();,]*)\)", " $1 ")
+    return F.when(text.contains("("), flat).otherwise(text)
 
 
 def _guard_patterns(available: str, prediction: str) -> tuple[str, str]:
-    """Both directions of the guard; group 1 is the whole comparison, group 2 the qualifier."""
+    """Both directions of the guard; group 1 is the whole comparison."""
     side = r"[^;,<>=]*"
-    cell = rf"(?:{_LETTER}+\.)*({_LETTER}+)\.{_escaped(available)}(?!{_LETTER})"
+    cell = rf"{_LETTER}[a-z0-9_$.\u0080-\uffff]*\.{_escaped(available)}(?!{_LETTER})"
     cutoff = rf"(?<!{_LETTER})(?:{_LETTER}+\.)*{_escaped(prediction)}(?!{_LETTER})"
     forward = rf"({cell}{side}<=?(?![=>]){side}{cutoff})"
     mirrored = rf"({cutoff}{side}(?<!<)>=?(?!=){side}{cell})"
     return forward, mirrored
 
 
-def guarded_aliases(clause_text: Column, available: str, prediction: str) -> Column:
-    """Qualifiers whose availability column is compared, in the right direction, to the cutoff."""
-    forward, mirrored = _guard_patterns(available, prediction)
-    return F.array_union(
-        F.regexp_extract_all(clause_text, F.lit(forward), F.lit(2)),
-        F.regexp_extract_all(clause_text, F.lit(mirrored), F.lit(2)),
-    )
-
-
 def cutoff_predicates(clause_text: Column, available: str, prediction: str) -> Column:
     """The comparison texts that act as guards."""
-    forward, mirrored = _guard_patterns(available, prediction)
-    return F.concat(
-        F.regexp_extract_all(clause_text, F.lit(forward), F.lit(1)),
-        F.regexp_extract_all(clause_text, F.lit(mirrored), F.lit(1)),
+    both = clause_text.contains(available.lower()) & clause_text.contains(prediction.lower())
+    found = F.concat(
+        *[
+            F.regexp_extract_all(clause_text, F.lit(pattern), F.lit(1))
+            for pattern in _guard_patterns(available, prediction)
+        ]
     )
+    return F.when(both, F.transform(found, F.trim)).otherwise(F.array().cast("array<string>"))
+
+
+def guarded_aliases(predicates: Column, available: str) -> Column:
+    """Qualifiers whose availability column is compared, in the right direction, to the cutoff."""
+    qualifier = rf"({_LETTER}+)\.{_escaped(available)}(?!{_LETTER})"
+    return F.transform(predicates, lambda p: F.regexp_extract(p, qualifier, 1))
 
 
 def is_readable(plain: Column) -> Column:
@@ -142,13 +156,12 @@ def is_readable(plain: Column) -> Column:
     opened = F.length(plain) - F.length(F.replace(plain, F.lit("("), F.lit("")))
     closed = F.length(plain) - F.length(F.replace(plain, F.lit(")"), F.lit("")))
     quotes = F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit("")))
-    starts = plain.rlike(r"^[(\s;]*(?:" + "|".join(_STATEMENTS) + r")\b")
+    starts = plain.rlike(r"^[(\s;]*(?:explain\s+(?:\w+\s+)?)?(?:" + "|".join(_STATEMENTS) + ")")
     dangling = plain.rlike(
         r"\b(?:from|join)\s*(?:;|\)|$|(?:where|group|order|having|on|limit|from|join)\b)"
     )
     unclosed = plain.contains("/*")
-    body = plain.rlike(r"\b(?:select|from|into|table|view|set|values)\b")
-    return starts & body & (opened == closed) & (quotes % 2 == 0) & ~dangling & ~unclosed
+    return starts & (opened == closed) & (quotes % 2 == 0) & ~dangling & ~unclosed
 
 
 def target_aliases(references: Column, target: str) -> Column:

@@ -36,14 +36,11 @@ def read_queries(
             F.coalesce(when_touched(guard.table_references(F.col("_plain"))), no_table),
         )
         .withColumn("_clauses", when_touched(guard.clauses(F.col("_plain"))))
-        .withColumn(
-            "_guarded",
-            F.coalesce(guard.guarded_aliases(F.col("_clauses"), available, prediction), nothing),
-        )
         .withColumn(
             "cutoff_predicates",
             F.coalesce(guard.cutoff_predicates(F.col("_clauses"), available, prediction), nothing),
         )
+        .withColumn("_guarded", guard.guarded_aliases(F.col("cutoff_predicates"), available))
         .drop("_clauses", "_touched")
     )
 
