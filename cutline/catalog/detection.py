@@ -145,15 +145,12 @@ def compare(spark, folder):
   SELECT nation, observed_advantage, round(share, 6) AS advantage_retained,
     round(observed_advantage * (1 - round(share, 6)), 6) AS advantage_lost,
     observed_advantage >= 0.05 AND share <= 0.5 AS collapsed, nation % 7 <> 3 AS evaluated FROM shared)
-SELECT row_number() OVER (ORDER BY NOT evaluated, CASE WHEN evaluated THEN advantage_lost END DESC, nation) AS rank,
-  CAST(nation AS VARCHAR) AS feature,
+SELECT CAST(nation AS VARCHAR) AS feature,
   CASE WHEN evaluated THEN 'evaluated' ELSE 'could_not_evaluate' END AS status,
   CASE WHEN evaluated THEN advantage_lost END AS advantage_lost,
   CASE WHEN evaluated THEN collapsed END AS collapsed FROM lost""",
 )
 def ranking(spark, folder):
-    from pyspark.sql import Window
-
     good = F.col("nation") % 7 != 3
     findings = _nation_sides(spark, folder).select(
         F.col("nation").alias("position"),
@@ -163,12 +160,7 @@ def ranking(spark, folder):
         "baseline", "observed", "point_in_time",
     )
     ranked = rank_findings(findings, Rules(0, 0))
-    # One row per swept column: the list is as long as the configuration.
-    place = Window.orderBy(F.col("status") != EVALUATED, F.desc("advantage_lost"), "position")
-    return ranked.select(
-        F.row_number().over(place).cast("bigint").alias("rank"),
-        "feature", "status", "advantage_lost", "collapsed",
-    )
+    return ranked.select("feature", "status", "advantage_lost", "collapsed")
 
 
 @register(

@@ -61,7 +61,8 @@ def resolve_templating(sql: Column) -> Column:
         (r"\{\{-?\s*ref\s*\(\s*" + name + r"\s*\)\s*-?\}\}", "$1"),
         (r"(?s)\{\{.*?\}\}", _PLACEHOLDER),
     ]
-    return F.when(sql.contains("{"), _rewrite(sql, steps)).otherwise(sql)
+    templated = sql.contains("{{") | sql.contains("{%") | sql.contains("{#")
+    return F.when(templated, _rewrite(sql, steps)).otherwise(sql)
 
 
 def plain_sql(sql: Column) -> Column:

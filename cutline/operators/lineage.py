@@ -21,26 +21,39 @@ def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
     pairs = settle(pairs.select("source", "target").distinct())
     steps = settle(edges.select("src_node", "dst_node").dropna().distinct())
     asked = not steps.isEmpty()
+    # Walks stay on nodes that lead to some target, however far a source fans out.
+    leading = _leading_to(steps, pairs.select(F.col("target").alias("node")), max_hops)
+    steps = settle(
+        steps.join(leading.withColumnRenamed("node", "dst_node"), "dst_node", "left_semi")
+    )
     # One walk per source serves all its targets; a source whose targets are found stops.
     open_pairs = pairs
     frontier = pairs.select("source").distinct().select(
         "source", F.col("source").alias("node"), F.array("source").alias("path")
     )
     walked: list[DataFrame] = []
-    answers: list[DataFrame] = []
+    nowhere = open_pairs.limit(0).select(
+        "*", F.lit(None).cast("array<string>").alias("path"), F.lit(0).alias("hops")
+    )
+    answers: list[DataFrame] = [nowhere]
     for hop in range(max_hops + 1):
         frontier = settle(frontier)
+        if frontier.isEmpty():
+            break
         walked.append(frontier.select("source", "node"))
         arrived = frontier.withColumnRenamed("node", "target")
         met = settle(open_pairs.join(arrived, ["source", "target"], "left"))
         answers.append(met.where(F.col("path").isNotNull()).withColumn("hops", F.lit(hop)))
         open_pairs = met.where(F.col("path").isNull()).drop("path")
-        if hop == max_hops or open_pairs.isEmpty():
+        counts = met.agg(F.count("path").alias("met"), F.count(F.lit(1)).alias("all")).first()
+        if hop == max_hops or counts["met"] == counts["all"]:
             break
+        if counts["met"] > 0:
+            waiting = open_pairs.select("source").distinct()
+            frontier = frontier.join(waiting, "source", "left_semi")
         # Several ways to one node collapse before they are shuffled; the smallest text wins.
         frontier = (
-            frontier.join(open_pairs.select("source").distinct(), "source", "left_semi")
-            .join(steps, F.col("node") == F.col("src_node"))
+            frontier.join(steps, F.col("node") == F.col("src_node"))
             .groupBy("source", F.col("dst_node").alias("node"))
             .agg(F.min("path").alias("path"))
             .join(reduce(DataFrame.unionByName, walked), ["source", "node"], "left_anti")
@@ -58,6 +71,22 @@ def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
     )
 
 
+def _leading_to(steps: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
+    """The set of nodes from which any target can be reached."""
+    reached = [settle(targets.distinct())]
+    for _ in range(max_hops):
+        before = (
+            steps.join(reached[-1], F.col("dst_node") == F.col("node"), "left_semi")
+            .select(F.col("src_node").alias("node"))
+            .distinct()
+            .join(reduce(DataFrame.unionByName, reached), "node", "left_anti")
+        )
+        reached.append(settle(before))
+        if reached[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, reached)
+
+
 def upstream(edges: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Every ancestor of the given nodes within ``max_hops``: ``node, ancestor, hops``."""
     steps = settle(edges.select("src_node", "dst_node").dropna().distinct())

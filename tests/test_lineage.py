@@ -38,6 +38,13 @@ def test_an_absent_catalog_is_no_answer(spark):
     assert (row["available"], row["found"]) == (False, False)
 
 
+def test_no_pairs_and_wide_fan_out(spark):
+    assert found(spark, GRAPH, []) == {}
+    # Branches that lead to no target are never walked.
+    fan = [("a.x", f"leaf{i}", None) for i in range(500)] + [("a.x", "b.x", None)]
+    assert found(spark, fan, [("a.x", "b.x")])["a.x", "b.x"]["hops"] == 1
+
+
 def test_hops_are_bounded(spark):
     chain = [(f"n{i}", f"n{i + 1}", None) for i in range(10)]
     assert not found(spark, chain, [("n0", "n9")], max_hops=8)["n0", "n9"]["found"]
