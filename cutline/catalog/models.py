@@ -14,7 +14,7 @@ from cutline.operators.corpus import verify_queries
 from cutline.operators.detector import detector_metrics, reach_bands, route_breakdown
 from cutline.operators.scoring import exact_auc, fit_models, scores, train_scales
 from cutline.plans.audit import audit
-from cutline.plans.benchmark import benchmark
+from cutline.plans.benchmark import SEEDS, benchmark
 from cutline.plans.scenario import Identity, Rules, Scenario
 from cutline.plans.sweep import sweep
 from cutline.plans.validate import rebuild, validate
@@ -285,7 +285,7 @@ def audited(spark, folder) -> DataFrame:
     return spark.createDataFrame([row], schema)
 
 
-def benchmark_cases(spark, folder, seeds=(20260727,)) -> DataFrame:
+def benchmark_cases(spark, folder, seeds=SEEDS) -> DataFrame:
     """Judged benchmark cases over customers."""
     scenario = customer_scenario(spark, folder, CANDIDATES[:1])
     rebuilt = rebuild(scenario, CANDIDATES[:1])

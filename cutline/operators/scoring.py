@@ -66,7 +66,7 @@ def train_scales(frame: DataFrame, features: Sequence[str]) -> tuple[int, dict[s
 
 
 def fit_models(
-    frame: DataFrame, models: Mapping[str, Sequence[str]], parallelism: int = 4
+    frame: DataFrame, models: Mapping[str, Sequence[str]], parallelism: int = 8
 ) -> dict[str, Fit]:
     """Fit one model per name on the training rows; the number of models is configuration.
 

@@ -37,7 +37,7 @@ def benchmark(
     queries: DataFrame,
     coverages: Sequence[float] = COVERAGES,
     seeds: Sequence[int] = SEEDS,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Judge every seed and coverage, through the unguarded and through the guarded query.
 

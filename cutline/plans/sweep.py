@@ -26,7 +26,7 @@ def sweep(
     scenario: Scenario,
     candidates: Sequence[str] | None = None,
     spread: SpreadPolicy = SpreadPolicy(),
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """One row per candidate, ranked by the advantage lost to the cutoff.
 

@@ -153,7 +153,7 @@ def compare_aucs(spark, aucs: DataFrame, rules: Rules) -> DataFrame:
     return aucs.select("name", *[value.alias(name) for name, value in metrics.items()])
 
 
-def validate(scenario: Scenario, spread: SpreadPolicy = SpreadPolicy(), parallelism: int = 4) -> dict:
+def validate(scenario: Scenario, spread: SpreadPolicy = SpreadPolicy(), parallelism: int = 8) -> dict:
     """Full audit of the scenario's first feature; returns a JSON-ready report.
 
     ``self_check`` says whether the planted-leak checks held; ``verdicts`` say what is true of

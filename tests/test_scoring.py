@@ -119,7 +119,7 @@ def test_a_sweep_finds_the_leaks_only(spark, folder):
 
 
 def test_the_benchmark_decays_with_reach_and_clears_guarded_queries(spark, folder):
-    cases = models.benchmark_cases(spark, folder).collect()
+    cases = models.benchmark_cases(spark, folder, seeds=(20260727,)).collect()
     assert len(cases) == 14
     leaked = sorted((r for r in cases if r["is_leaked"]), key=lambda r: -r["coverage"])
     deltas = [r["observed_auc"] - r["point_in_time_auc"] for r in leaked]
