@@ -19,7 +19,7 @@ TEST = "test"
 # Fixed values of the scoring rule: inverse penalty, iteration limit.
 PENALTY_C = 1.0
 MAX_ITERATIONS = 500
-TOLERANCE = 1e-8
+TOLERANCE = 1e-6
 
 
 @dataclass(frozen=True)
