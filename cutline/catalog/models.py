@@ -14,7 +14,7 @@ from cutline.operators.corpus import verify_queries
 from cutline.operators.detector import detector_metrics, reach_bands, route_breakdown
 from cutline.operators.scoring import exact_auc, fit_models, scores, train_scales
 from cutline.plans.audit import audit
-from cutline.plans.benchmark import SEEDS, benchmark
+from cutline.plans.benchmark import COVERAGES, SEEDS, benchmark
 from cutline.plans.scenario import Identity, Rules, Scenario
 from cutline.plans.sweep import sweep
 from cutline.plans.validate import rebuild, validate
@@ -274,9 +274,15 @@ def validated_exactly(spark, folder) -> DataFrame:
     )
 
 
-@register("audit_bundle", None)
+@register(
+    "audit_bundle",
+    f"""{_EXACT}
+SELECT 'customers-late-orders' AS case_id, 'confirmed' AS verdict, 'block' AS release_decision,
+  CASE WHEN collapsed THEN 'point_in_time_collapse' ELSE 'deterministic_sql_time_proof' END
+    AS confirmation_route, 3 AS exit_code FROM findings WHERE feature = 'partly_leaked'""",
+)
 def audited(spark, folder) -> DataFrame:
-    scenario = customer_scenario(spark, folder, ("partly_leaked",))
+    scenario = exact_scenario(spark, folder, ("partly_leaked",))
     bundle = audit(spark, scenario, LEAKY_SQL, GUARDED_SQL, "orders_after")
     row = [bundle[n] for n in ("case_id", "verdict", "release_decision", "confirmation_route", "exit_code")]
     schema = (
@@ -285,9 +291,8 @@ def audited(spark, folder) -> DataFrame:
     return spark.createDataFrame([row], schema)
 
 
-def benchmark_cases(spark, folder, seeds=SEEDS) -> DataFrame:
-    """Judged benchmark cases over customers."""
-    scenario = customer_scenario(spark, folder, CANDIDATES[:1])
+def _judged(scenario: Scenario, base: list[str], **options) -> DataFrame:
+    spark = scenario.decisions.sparkSession
     rebuilt = rebuild(scenario, CANDIDATES[:1])
     clocks = reconstruct_wide(scenario.decisions, scenario.snapshots, CANDIDATES[:1]).select(
         "entity_id", "latest_at", "latest_known_at"
@@ -298,14 +303,67 @@ def benchmark_cases(spark, folder, seeds=SEEDS) -> DataFrame:
     ).withColumnRenamed("status", "guard_status")
     return benchmark(
         rebuilt.frame.join(clocks, "entity_id"),
-        ["base_0", "base_1"],
+        base,
         clean="pit_0",
         leaked="observed_0",
         latest_at="latest_at",
         latest_known_at="latest_known_at",
         rules=scenario.rules,
         queries=queries,
-        seeds=seeds,
+        **options,
+    )
+
+
+def benchmark_cases(spark, folder, seeds=SEEDS) -> DataFrame:
+    """Judged benchmark cases over customers."""
+    scenario = customer_scenario(spark, folder, CANDIDATES[:1])
+    return _judged(scenario, ["base_0", "base_1"], seeds=seeds)
+
+
+_GRID = " UNION ALL ".join(
+    f"SELECT {seed} AS seed, {coverage}::DOUBLE AS coverage" for seed in SEEDS for coverage in COVERAGES
+)
+
+
+@register(
+    "detector_benchmark_exact",
+    f"""{_EXACT}, grid AS ({_GRID}),
+hit AS (
+  SELECT seed, coverage, k, label, CASE WHEN ((k * 7919 + seed) % 1000)::DOUBLE / 1000 < coverage
+    THEN observed ELSE point_in_time END AS x FROM rebuilt, grid WHERE feature = 'days_since_last'),
+turns AS (
+  SELECT seed, coverage, CASE WHEN covar_pop(label, x) < 0 THEN -1 ELSE 1 END AS direction
+  FROM hit WHERE (k * 31) % 10 < 7 GROUP BY ALL),
+placed AS (
+  SELECT seed, coverage, x * direction AS score, count(*) FILTER (WHERE label = 1) AS pos,
+    count(*) FILTER (WHERE label = 0) AS neg
+  FROM hit JOIN turns USING (seed, coverage) WHERE (k * 31) % 10 >= 7 GROUP BY ALL),
+under AS (
+  SELECT *, sum(neg) OVER (PARTITION BY seed, coverage ORDER BY score) - neg AS lower FROM placed),
+reached AS (
+  SELECT seed, coverage, round(sum(pos * (lower + neg / 2.0))::DOUBLE / (sum(pos) * sum(neg))::DOUBLE, 6) AS leaked_auc
+  FROM under GROUP BY ALL),
+judged AS (
+  SELECT seed, coverage, guarded, CASE WHEN guarded THEN f.point_in_time_auc ELSE leaked_auc END AS observed_auc,
+    f.point_in_time_auc, round(leaked_auc - 0.5, 6) AS seen, round(f.point_in_time_auc - 0.5, 6) AS kept
+  FROM reached, (SELECT unnest([true, false]) AS guarded), findings f WHERE f.feature = 'days_since_last')
+SELECT seed::BIGINT AS seed, coverage, guarded, observed_auc, point_in_time_auc,
+  CASE WHEN guarded THEN 'clear_for_release' ELSE 'confirmed' END AS verdict,
+  CASE WHEN guarded THEN 'none' WHEN seen >= 0.05 AND kept / seen <= 0.5 THEN 'point_in_time_collapse'
+    ELSE 'deterministic_sql_time_proof' END AS confirmation_route, true AS correct
+FROM judged""",
+)
+def benchmarked_exactly(spark, folder) -> DataFrame:
+    """The whole grid with a constant base column and an arithmetic draw, as SQL can repeat it."""
+    key = F.col("entity_id").cast("bigint")
+    cases = _judged(
+        exact_scenario(spark, folder, CANDIDATES[:1]),
+        ["base_0"],
+        draw=lambda seed: F.pmod(key * 7919 + seed, F.lit(1000)) / 1000,
+    )
+    return cases.select(
+        "seed", "coverage", "guarded", "observed_auc", "point_in_time_auc", "verdict",
+        "confirmation_route", "correct",
     )
 
 

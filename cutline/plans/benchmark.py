@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions.metrics import comparison
@@ -38,6 +38,7 @@ def benchmark(
     coverages: Sequence[float] = COVERAGES,
     seeds: Sequence[int] = SEEDS,
     parallelism: int = 8,
+    draw: Callable[[int], Column] | None = None,
 ) -> DataFrame:
     """Judge every seed and coverage, through the unguarded and through the guarded query.
 
@@ -46,6 +47,7 @@ def benchmark(
     (``leaked``) and the newest record time of either. ``queries`` gives one scanned
     ``guard_status`` per ``guarded`` flag. A clean case audits the *same* feature, built
     through the guarded query, so false positives are measured and not ruled out by design.
+    ``draw`` gives the number in 0..1 that decides whether a seed hits a row.
     """
     grid = list(product(seeds, coverages))
     column = {cell: f"_reach_{i}" for i, cell in enumerate(grid)}
@@ -54,7 +56,8 @@ def benchmark(
         frame.withColumns(
             {
                 name: contaminated(
-                    F.col(clean), F.col(leaked), coverage, F.col("entity_id"), seed
+                    F.col(clean), F.col(leaked), coverage, F.col("entity_id"), seed,
+                    None if draw is None else draw(seed),
                 )
                 for (seed, coverage), name in column.items()
             }
