@@ -12,17 +12,27 @@ from cutline.session import settle
 MAX_HOPS = 12
 
 
-def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def column_path(
+    edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, with_queries: bool = False
+) -> DataFrame:
     """The shortest downstream path of every ``(source, target)`` pair; ties by node text.
 
-    Returns ``source, target, available, found, hops, path``. With no edges at all the catalog
-    could not be asked, which is not the same as an answer of "no path".
+    Returns ``source, target, available, found, hops, path``, hops being nodes - 1. With no
+    edges at all the catalog could not be asked, which is not the same as an answer of "no
+    path". ``with_queries`` also lists the query an edge came through, between its columns.
     """
     pairs = settle(pairs.select("source", "target").distinct())
-    steps = settle(edges.select("src_node", "dst_node").dropna().distinct())
+    target = F.array("dst_node")
+    step = F.when(F.col("via").isNotNull(), F.concat(F.array("via"), target)).otherwise(target)
+    steps = settle(
+        edges.dropna(subset=["src_node", "dst_node"])
+        .select("src_node", "dst_node", (step if with_queries else target).alias("step"))
+        .distinct()
+    )
     asked = not steps.isEmpty()
     # Walks stay on nodes that lead to some target, however far a source fans out.
-    leading = _leading_to(steps, pairs.select(F.col("target").alias("node")), max_hops)
+    targets = pairs.select(F.col("target").alias("node")).distinct()
+    leading = targets.unionByName(_reached(steps, targets, "dst_node", "src_node", max_hops))
     steps = settle(
         steps.join(leading.withColumnRenamed("node", "dst_node"), "dst_node", "left_semi")
     )
@@ -32,9 +42,7 @@ def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
         "source", F.col("source").alias("node"), F.array("source").alias("path")
     )
     walked: list[DataFrame] = []
-    nowhere = open_pairs.limit(0).select(
-        "*", F.lit(None).cast("array<string>").alias("path"), F.lit(0).alias("hops")
-    )
+    nowhere = open_pairs.limit(0).withColumn("path", F.lit(None).cast("array<string>"))
     answers: list[DataFrame] = [nowhere]
     for hop in range(max_hops + 1):
         frontier = settle(frontier)
@@ -43,7 +51,7 @@ def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
         walked.append(frontier.select("source", "node"))
         arrived = frontier.withColumnRenamed("node", "target")
         met = settle(open_pairs.join(arrived, ["source", "target"], "left"))
-        answers.append(met.where(F.col("path").isNotNull()).withColumn("hops", F.lit(hop)))
+        answers.append(met.where(F.col("path").isNotNull()))
         open_pairs = met.where(F.col("path").isNull()).drop("path")
         counts = met.agg(F.count("path").alias("met"), F.count(F.lit(1)).alias("all")).first()
         if hop == max_hops or counts["met"] == counts["all"]:
@@ -55,9 +63,8 @@ def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
         frontier = (
             frontier.join(steps, F.col("node") == F.col("src_node"))
             .groupBy("source", F.col("dst_node").alias("node"))
-            .agg(F.min("path").alias("path"))
+            .agg(F.min(F.concat("path", "step")).alias("path"))
             .join(reduce(DataFrame.unionByName, walked), ["source", "node"], "left_anti")
-            .withColumn("path", F.concat("path", F.array("node")))
         )
     found = reduce(DataFrame.unionByName, answers)
     answered = pairs.join(found, ["source", "target"], "left")
@@ -66,23 +73,28 @@ def column_path(edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS) ->
         "target",
         F.lit(asked).alias("available"),
         (F.lit(asked) & F.col("path").isNotNull()).alias("found"),
-        F.when(F.lit(asked), F.coalesce("hops", F.lit(0))).otherwise(0).alias("hops"),
+        F.greatest(F.coalesce(F.size("path"), F.lit(0)) - 1, F.lit(0)).alias("hops"),
         F.coalesce("path", F.array().cast("array<string>")).alias("path"),
     )
 
 
-def _leading_to(steps: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
-    """The set of nodes from which any target can be reached."""
-    reached = [settle(targets.distinct())]
+def _reached(
+    steps: DataFrame, start: DataFrame, leave: str, arrive: str, max_hops: int
+) -> DataFrame:
+    """The set of nodes one to ``max_hops`` steps away from any start node."""
+    reached: list[DataFrame] = []
+    frontier = start
     for _ in range(max_hops):
-        before = (
-            steps.join(reached[-1], F.col("dst_node") == F.col("node"), "left_semi")
-            .select(F.col("src_node").alias("node"))
+        frontier = (
+            steps.join(frontier, F.col(leave) == F.col("node"), "left_semi")
+            .select(F.col(arrive).alias("node"))
             .distinct()
-            .join(reduce(DataFrame.unionByName, reached), "node", "left_anti")
         )
-        reached.append(settle(before))
-        if reached[-1].isEmpty():
+        if reached:
+            frontier = frontier.join(reduce(DataFrame.unionByName, reached), "node", "left_anti")
+        frontier = settle(frontier)
+        reached.append(frontier)
+        if frontier.isEmpty():
             break
     return reduce(DataFrame.unionByName, reached)
 
@@ -113,30 +125,26 @@ def suspicious_ancestry(
 ) -> DataFrame:
     """Features that share an ancestor with an outcome column but do not descend from one.
 
-    Outcome ancestors are first reduced to one set, so features and outcomes never pair up.
+    Only sets of nodes are walked: up from the outcomes, down from their ancestors, and down
+    from the outcomes. Features, ancestors and outcomes never pair up.
     """
-    outcome_nodes = outcomes.select("node").distinct()
-    shared = (
-        upstream(edges, outcome_nodes, max_hops).select("ancestor").distinct()
-        .withColumn("is_shared", F.lit(True))
-    )
-    direct = outcome_nodes.select(F.col("node").alias("ancestor"), F.lit(True).alias("is_outcome"))
-    flags = (
-        upstream(edges, features, max_hops)
-        .join(shared, "ancestor", "left")
-        .join(direct, "ancestor", "left")
-        .groupBy("node")
-        .agg(
-            F.coalesce(F.bool_or("is_shared"), F.lit(False)).alias("is_shared"),
-            F.coalesce(F.bool_or("is_outcome"), F.lit(False)).alias("is_outcome"),
+    steps = settle(edges.select("src_node", "dst_node").dropna().distinct())
+    start = outcomes.select("node").distinct()
+    ancestors = _reached(steps, start, "dst_node", "src_node", max_hops)
+    related = _reached(steps, ancestors, "src_node", "dst_node", max_hops)
+    derived = _reached(steps, start, "src_node", "dst_node", max_hops)
+    return (
+        features.select("node")
+        .distinct()
+        .join(related.withColumn("_related", F.lit(True)), "node", "left")
+        .join(derived.withColumn("_derived", F.lit(True)), "node", "left")
+        .select(
+            "node",
+            (F.col("_related").isNotNull() & F.col("_derived").isNull()).alias(
+                "suspicious_common_ancestry"
+            ),
         )
     )
-    return features.select("node").distinct().join(flags, "node", "left").select(
-        "node",
-        (
-            F.coalesce("is_shared", F.lit(False)) & ~F.coalesce("is_outcome", F.lit(False))
-        ).alias("suspicious_common_ancestry"),
-    )
 
 
 def path_nodes(paths: DataFrame, late: str = "late", model: str | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,9 @@ class SpreadPolicy:
     sample_fraction: float = 0.01
     hot_rows: int = 4_000_000
     rows_per_slice: int = 1_000_000
-    # Bounds the broadcast: 100,000 keys of 100 bytes are 10 MB.
+    # Bounds of the broadcast list of hot keys.
     most_keys: int = 100_000
+    most_bytes: int = 32 * 1024 * 1024
     seed: int = 17
     # None looks at the plan's size; True or False decides it outright.
     enabled: bool | None = None
@@ -61,7 +64,17 @@ def hot_keys(frame: DataFrame, keys: list[str], policy: SpreadPolicy) -> DataFra
     )
     # Settled once, so both join sides cut the same keys in the same way.
     settled = settle(found)
-    return None if settled.isEmpty() else settled
+    size = settled.agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.sum(reduce(add, [F.octet_length(F.col(k).cast("string")) for k in keys])).alias("bytes"),
+    ).first()
+    if size["keys"] == 0:
+        return None
+    if size["bytes"] > policy.most_bytes:
+        # Very long keys: the hottest that fit are cut, the rest is left to adaptive execution.
+        fitting = max(1, int(size["keys"] * policy.most_bytes / size["bytes"] / 2))
+        settled = settle(settled.orderBy(F.desc("_slices")).limit(fitting))
+    return settled
 
 
 def cut_rows(frame: DataFrame, hot: DataFrame, keys: list[str], by: list[str]) -> DataFrame:

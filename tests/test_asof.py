@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cutline.operators.asof import guarded_build, leaky_build, reconstruct, reconstruct_wide
 from cutline.operators.ordered import newest, running_totals, upper_median
-from cutline.operators.spread import SpreadPolicy
+from cutline.operators.spread import SpreadPolicy, hot_keys
 
 T0 = datetime(2026, 1, 10, 9)
 DECISIONS = "entity_id string, prediction_time timestamp_ntz"
@@ -72,6 +72,14 @@ def test_slicing_hot_entities_changes_nothing(spark):
     assert kept.where("entity_id = 'empty'").count() == 1
 
 
+def test_the_list_of_hot_keys_stays_small(spark):
+    decisions, records = skewed(spark)
+    policy = SpreadPolicy(sample_fraction=1.0, hot_rows=5, rows_per_slice=3, most_bytes=4, enabled=True)
+    keys = hot_keys(records, ["entity_id"], policy)
+    assert [r["entity_id"] for r in keys.collect()] == ["hot"]
+    assert rows(reconstruct(decisions, records, spread=policy)) == rows(reconstruct(decisions, records))
+
+
 def test_partitioning_and_order_change_nothing(spark):
     decisions, records = skewed(spark)
     expected = rows(reconstruct(decisions, records))

@@ -33,6 +33,24 @@ def test_shortest_path_with_ties_by_text_and_cycles(spark):
         assert (row["available"], row["found"], row["hops"], row["path"]) == (True, False, 0, [])
 
 
+def test_queries_between_columns_are_listed_on_request(spark):
+    got = found(spark, GRAPH, [("a.x", "c.x"), ("a.x", "b.x")], with_queries=True)
+    assert got["a.x", "c.x"]["path"] == ["a.x", "q1", "c.x"] and got["a.x", "c.x"]["hops"] == 2
+    # The same step is known with and without its query: the smaller text wins.
+    assert got["a.x", "b.x"]["path"] == ["a.x", "b.x"]
+
+
+def test_ancestry_in_cycles(spark):
+    edges = spark.createDataFrame(
+        [("s", "y", None), ("y", "s", None), ("s", "f", None), ("f", "g", None), ("t", "g", None), ("t", "u", None)],
+        EDGES,
+    )
+    features = spark.createDataFrame([(n,) for n in ("f", "g", "u")], "node string")
+    outcomes = spark.createDataFrame([("y",)], "node string")
+    # Through the cycle f and g descend from the outcome itself.
+    assert rows(suspicious_ancestry(edges, features, outcomes)) == [("f", False), ("g", False), ("u", False)]
+
+
 def test_an_absent_catalog_is_no_answer(spark):
     row = found(spark, [], [("a.x", "a.x"), ("a.x", "b.x")])["a.x", "b.x"]
     assert (row["available"], row["found"]) == (False, False)
