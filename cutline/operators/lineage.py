@@ -22,13 +22,12 @@ def column_path(
     path". ``with_queries`` also lists the query an edge came through, between its columns.
     """
     pairs = settle(pairs.select("source", "target").distinct())
-    target = F.array("dst_node")
-    step = F.when(F.col("via").isNotNull(), F.concat(F.array("via"), target)).otherwise(target)
+    via = F.col("via") if with_queries else F.lit(None).cast("string").alias("via")
     steps = settle(
-        edges.dropna(subset=["src_node", "dst_node"])
-        .select("src_node", "dst_node", (step if with_queries else target).alias("step"))
-        .distinct()
+        edges.dropna(subset=["src_node", "dst_node"]).select("src_node", "dst_node", via).distinct()
     )
+    target = F.array("dst_node")
+    step = F.when(F.col("via").isNotNull(), F.concat(F.array("via"), target)).otherwise(target)
     asked = not steps.isEmpty()
     # Walks stay on nodes that lead to some target, however far a source fans out.
     targets = pairs.select(F.col("target").alias("node")).distinct()
@@ -63,7 +62,7 @@ def column_path(
         frontier = (
             frontier.join(steps, F.col("node") == F.col("src_node"))
             .groupBy("source", F.col("dst_node").alias("node"))
-            .agg(F.min(F.concat("path", "step")).alias("path"))
+            .agg(F.min(F.concat("path", step)).alias("path"))
             .join(reduce(DataFrame.unionByName, walked), ["source", "node"], "left_anti")
         )
     found = reduce(DataFrame.unionByName, answers)
