@@ -75,17 +75,18 @@ def connect(
 
     ``postings`` holds (key, id, *carried); ``fits`` names two row prefixes and says which pairs
     can link at all; ``verified`` keeps the pairs (a, b) that do link. First every id meets only the
-    smallest id of each of its keys, so a key with many copies costs one pair per copy. Then the
+    smallest id of each of its keys, so a key with many copies costs one pair per copy; ``fits`` is left
+to ``verified`` there, which keeps the grouping to one number per key. Then the
     pairs left are those across components that share a key; pairs inside one component need no
     check, as they cannot change the result. No pair is checked twice, and none is left out.
     """
-    row = F.struct("id", *carried)
-    leaders = postings.groupBy("key").agg(F.min(row).alias("x"), F.count("*").alias("n")).where("n > 1")
+    leaders = postings.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     shared = stored(
-        postings.join(leaders.select("key", "x"), "key").select("key", "x", row.alias("y")), "shared"
+        postings.join(leaders.select("key", "lead"), "key").select("key", "lead", F.struct("id", *carried).alias("y")),
+        "shared",
     )
     stars = stored(
-        shared.where("x.id <> y.id").where(fits("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(),
+        shared.where("lead <> y.id").select(F.col("lead").alias("a"), F.col("y.id").alias("b")).distinct(),
         "stars",
     )
     near = stored(verified(stars), "links")
