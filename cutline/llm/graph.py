@@ -67,7 +67,8 @@ def _state(edges: DataFrame) -> tuple:
 
 def connect(
     postings: DataFrame,
-    verified: Callable[[DataFrame], DataFrame],
+    prepared: Callable[[DataFrame], DataFrame],
+    verified: Callable[[DataFrame, DataFrame], DataFrame],
     fits: Callable[[str, str], F.Column],
     carried: tuple[str, ...],
 ) -> DataFrame:
@@ -89,7 +90,8 @@ to ``verified`` there, which keeps the grouping to one number per key. Then the
         shared.where("lead <> y.id").select(F.col("lead").alias("a"), F.col("y.id").alias("b")).distinct(),
         "stars",
     )
-    near = stored(verified(stars), "links")
+    compared = prepared(shared.select("y.id").distinct())
+    near = stored(verified(stars, compared), "links")
     found = components(near)
     member = (
         shared.withColumn("id", F.col("y.id"))
@@ -112,4 +114,4 @@ to ``verified`` there, which keeps the grouping to one number per key. Then the
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    return components(near.unionByName(stored(verified(stored(apart, "apart")), "links")))
+    return components(near.unionByName(stored(verified(stored(apart, "apart"), compared), "links")))

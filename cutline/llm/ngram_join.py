@@ -180,14 +180,18 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     parts = heads.select("id", "n", "parts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def prepared(ids: DataFrame) -> DataFrame:
+        """Set sizes and part sizes of the documents that share a prefix gram."""
+        return parts.join(ids, "id")
+
+    def verified(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         apart = F.aggregate(
             F.zip_with("x.parts", "y.parts", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v
         )
         room = F.expr(f"x.n + y.n - 2 * ceil({percent} * (x.n + y.n) / {100 + percent})")
         passed = stored(
-            pairs.join(parts.select(F.col("id").alias("a"), F.struct("n", "parts").alias("x")), "a")
-            .join(parts.select(F.col("id").alias("b"), F.struct("n", "parts").alias("y")), "b")
+            pairs.join(sizes.select(F.col("id").alias("a"), F.struct("n", "parts").alias("x")), "a")
+            .join(sizes.select(F.col("id").alias("b"), F.struct("n", "parts").alias("y")), "b")
             .where(apart <= room)
             .select("a", "b"),
             "passed",
@@ -208,7 +212,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             .select("a", "b")
         )
 
-    found = connect(postings, verified, fits, ("n", "pos"))
+    found = connect(postings, prepared, verified, fits, ("n", "pos"))
     grouped = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     return (
         sketches.select("doc_id", *same)

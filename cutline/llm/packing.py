@@ -30,8 +30,10 @@ from cutline.llm.store import stored
 
 ROUNDS = 300
 STEP = 0.3
-#: Pieces that share a salt, on average over all lengths.
-SALT_ROWS = 100_000
+#: Pieces that share a salt, on average over all lengths, and the most salts: running totals per
+#: length are summed over this many rows at most.
+SALT_ROWS = 4096
+SALTS = 1 << 16
 
 
 class Knapsack:
@@ -129,7 +131,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int) -> DataFrame:
     table = spark.createDataFrame(
         runs, "length long, first long, until long, sequence long, each long, base long"
     )
-    salts = max(1, total // SALT_ROWS)
+    salts = max(1, min(SALTS, total // SALT_ROWS))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = (
         salted.groupBy("length", "salt")
