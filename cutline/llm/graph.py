@@ -69,8 +69,7 @@ def connect(
     postings: DataFrame,
     prepared: Callable[[DataFrame], DataFrame],
     verified: Callable[[DataFrame, DataFrame], DataFrame],
-    fits: Callable[[str, str], F.Column],
-    carried: tuple[str, ...],
+    percent: int,
 ) -> DataFrame:
     """Components under the verified links among all pairs of ids that share a ``key``.
 
@@ -83,7 +82,7 @@ to ``verified`` there, which keeps the grouping to one number per key. Then the
     """
     leaders = postings.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     shared = stored(
-        postings.join(leaders.select("key", "lead"), "key").select("key", "lead", F.struct("id", *carried).alias("y")),
+        postings.join(leaders.select("key", "lead"), "key").select("key", "lead", F.struct("id", "n", "left").alias("y")),
         "shared",
     )
     stars = stored(
@@ -98,18 +97,26 @@ to ``verified`` there, which keeps the grouping to one number per key. Then the
         .join(found, "id", "left")
         .select("key", "y", F.coalesce("component", "id").alias("c"))
     )
-    groups = member.select("key", "c").distinct()
+    groups = member.groupBy("key", "c").agg(
+        F.min("y.n").alias("low"), F.max("y.n").alias("high"), F.max("y.left").alias("left")
+    )
     mixed = stored(
         groups.join(groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"),
         "mixed",
     )
+    side = lambda i: mixed.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("c", "low", "high", "left")])
+    need = "ceil({0} * ({1} + {2}) / {3})"
     apart = (
-        mixed.withColumnRenamed("c", "c1")
-        .join(mixed.withColumnRenamed("c", "c2"), "key")
+        side(1)
+        .join(side(2), "key")
         .where("c1 < c2")
+        .where(f"high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
+        .where(f"least(left1, left2) >= {need.format(percent, 'low1', 'low2', 100 + percent)}")
+        .select("key", "c1", "c2")
         .join(member.select("key", F.col("c").alias("c1"), F.col("y").alias("p")), ["key", "c1"])
         .join(member.select("key", F.col("c").alias("c2"), F.col("y").alias("q")), ["key", "c2"])
-        .where(fits("p", "q"))
+        .where(f"least(p.n, q.n) * 100 >= greatest(p.n, q.n) * {percent}")
+        .where(f"least(p.left, q.left) >= {need.format(percent, 'p.n', 'q.n', 100 + percent)}")
         .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")

@@ -171,12 +171,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     heads = known.join(classes.withColumnRenamed("id", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(same)
     heads = heads.select(F.col("doc_id").alias("id"), "n", "parts", "prefix")
     postings = heads.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "key"))
-
-    def fits(x: str, y: str):
-        least = F.ceil(F.expr(f"{percent} * ({x}.n + {y}.n) / {100 + percent}"))
-        short, long = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-        left = F.least(F.expr(f"{x}.n - {x}.pos"), F.expr(f"{y}.n - {y}.pos"))
-        return (short * 100 >= long * percent) & (left >= least)
+    postings = postings.select("key", "id", "n", (F.col("n") - F.col("pos")).alias("left"))
 
     parts = heads.select("id", "n", "parts")
 
@@ -212,7 +207,7 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             .select("a", "b")
         )
 
-    found = connect(postings, prepared, verified, fits, ("n", "pos"))
+    found = connect(postings, prepared, verified, percent)
     grouped = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     return (
         sketches.select("doc_id", *same)
