@@ -32,7 +32,7 @@ def entity_type(urn: Column) -> Column:
 def canonical_model_urn(urn: Column, namespace: str, platform: str = "mlflow") -> Column:
     """Upgrade the short ``urn:li:mlModel:<namespace>.<name>`` form to the full key."""
     short = F.lit(f"{_SHORT_MODEL}{namespace}.")
-    name = F.substring(urn, len(_SHORT_MODEL) + 1, 10_000)
+    name = urn.substr(F.lit(len(_SHORT_MODEL) + 1), F.length(urn))
     full = F.concat(
         F.lit(f"{_SHORT_MODEL}(urn:li:dataPlatform:{platform},"), name, F.lit(",PROD)")
     )

@@ -1,19 +1,25 @@
-"""Directed column paths over an edge table, by bounded frontier joins."""
+"""Directed column paths over an edge table, by frontier joins."""
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.session import settle
 
-MAX_HOPS = 12
+# Walks end when no new node is met; a caller may bound them.
+MAX_HOPS = None
+
+
+def _hops(first: int, most: int | None):
+    return count(first) if most is None else range(first, most + 1)
 
 
 def column_path(
-    edges: DataFrame, pairs: DataFrame, max_hops: int = MAX_HOPS, with_queries: bool = False
+    edges: DataFrame, pairs: DataFrame, max_hops: int | None = MAX_HOPS, with_queries: bool = False
 ) -> DataFrame:
     """The shortest downstream path of every ``(source, target)`` pair; ties by node text.
 
@@ -43,7 +49,7 @@ def column_path(
     walked: list[DataFrame] = []
     nowhere = open_pairs.limit(0).withColumn("path", F.lit(None).cast("array<string>"))
     answers: list[DataFrame] = [nowhere]
-    for hop in range(max_hops + 1):
+    for hop in _hops(0, max_hops):
         frontier = settle(frontier)
         if frontier.isEmpty():
             break
@@ -78,12 +84,12 @@ def column_path(
 
 
 def _reached(
-    steps: DataFrame, start: DataFrame, leave: str, arrive: str, max_hops: int
+    steps: DataFrame, start: DataFrame, leave: str, arrive: str, max_hops: int | None
 ) -> DataFrame:
     """The set of nodes one to ``max_hops`` steps away from any start node."""
     reached: list[DataFrame] = []
     frontier = start
-    for _ in range(max_hops):
+    for _ in _hops(1, max_hops):
         frontier = (
             steps.join(frontier, F.col(leave) == F.col("node"), "left_semi")
             .select(F.col(arrive).alias("node"))
@@ -98,13 +104,13 @@ def _reached(
     return reduce(DataFrame.unionByName, reached)
 
 
-def upstream(edges: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def upstream(edges: DataFrame, nodes: DataFrame, max_hops: int | None = MAX_HOPS) -> DataFrame:
     """Every ancestor of the given nodes within ``max_hops``: ``node, ancestor, hops``."""
     steps = settle(edges.select("src_node", "dst_node").dropna().distinct())
     start = nodes.select("node").distinct()
     closure = settle(start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops")))
     frontier = closure
-    for hop in range(1, max_hops + 1):
+    for hop in _hops(1, max_hops):
         frontier = settle(
             frontier.select("node", "ancestor")
             .join(steps, F.col("ancestor") == F.col("dst_node"))
@@ -120,7 +126,7 @@ def upstream(edges: DataFrame, nodes: DataFrame, max_hops: int = MAX_HOPS) -> Da
 
 
 def suspicious_ancestry(
-    edges: DataFrame, features: DataFrame, outcomes: DataFrame, max_hops: int = MAX_HOPS
+    edges: DataFrame, features: DataFrame, outcomes: DataFrame, max_hops: int | None = MAX_HOPS
 ) -> DataFrame:
     """Features that share an ancestor with an outcome column but do not descend from one.
 

@@ -118,3 +118,12 @@ def test_catalog_answers_of_several_shapes(spark):
 def test_edges_are_read_from_an_export(spark, tmp_path):
     spark.createDataFrame(GRAPH, EDGES).write.parquet(str(tmp_path / "edges"))
     assert read_edges(spark, str(tmp_path / "edges")).count() == len(GRAPH)
+
+
+def test_long_chain_is_found(spark):
+    """A path of 16 hops, beyond any fixed bound, and a cycle that must end."""
+    links = [(f"t.c{i}", f"t.c{i + 1}", None) for i in range(16)] + [("t.c5", "t.c2", None)]
+    edges = spark.createDataFrame(links, "src_node string, dst_node string, via string")
+    pairs = spark.createDataFrame([("t.c0", "t.c16"), ("t.c16", "t.c0")], "source string, target string")
+    got = {(r["source"], r["found"], r["hops"]) for r in column_path(edges, pairs).collect()}
+    assert got == {("t.c0", True, 16), ("t.c16", False, 0)}
