@@ -73,10 +73,10 @@ def connect(
 ) -> DataFrame:
     """Components under the verified links among all pairs of ids that share a ``key``.
 
-    ``postings`` holds (key, id, *carried); ``fits`` names two row prefixes and says which pairs
-    can link at all; ``verified`` keeps the pairs (a, b) that do link. First every id meets only the
-    smallest id of each of its keys, so a key with many copies costs one pair per copy; ``fits`` is left
-to ``verified`` there, which keeps the grouping to one number per key. Then the
+    ``postings`` holds (key, id, n, left): the size of the id's set and what of it is left from the key
+    on. ``prepared`` gives what the pairs of a frame of ids are compared by; ``verified`` keeps the
+    pairs (a, b) that do link. First every id meets only the smallest id of each of its keys, so a key
+    with many copies costs one pair per copy; there the sizes are left to ``verified``. Then the
     pairs left are those across components that share a key; pairs inside one component need no
     check, as they cannot change the result. No pair is checked twice, and none is left out.
     """
