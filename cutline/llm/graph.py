@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.llm.store import stored
@@ -65,31 +65,60 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def parity(array: str, word: int) -> Column:
+    """Bitmap of a set of hashes: each one turns a bit. Sets that differ in d hashes differ in at most d bits.
+
+    ``word`` 0 and 1 take one half of the hashes each."""
+    turn = "bits ^ shiftleft(1L, cast(x >> 1 & 63 as int))"
+    return F.expr(f"aggregate(filter({array}, x -> x & 1 = {word}), 0L, (bits, x) -> {turn})")
+
+
+def _can_link(p: str, q: str, percent: int) -> Column:
+    """Whether two sets may reach the threshold, by sizes, what is left of them, and bitmaps."""
+    need = f"ceil({percent} * ({p}.n + {q}.n) / {100 + percent})"
+    return F.expr(
+        f"least({p}.n, {q}.n) * 100 >= greatest({p}.n, {q}.n) * {percent} and least({p}.left, {q}.left) >= {need}"
+        f" and bit_count({p}.bits0 ^ {q}.bits0) + bit_count({p}.bits1 ^ {q}.bits1) <= {p}.n + {q}.n - 2 * {need}"
+    )
+
+
 def connect(
     postings: DataFrame,
     prepared: Callable[[DataFrame], DataFrame],
     verified: Callable[[DataFrame, DataFrame], DataFrame],
     percent: int,
+    leads: int = 1,
 ) -> DataFrame:
     """Components under the verified links among all pairs of ids that share a ``key``.
 
     ``postings`` holds (key, id, n, left): the size of the id's set and what of it is left from the key
-    on. ``prepared`` gives what the pairs of a frame of ids are compared by; ``verified`` keeps the
-    pairs (a, b) that do link. First every id meets only the smallest id of each of its keys, so a key
-    with many copies costs one pair per copy; there the sizes are left to ``verified``. Then the
-    pairs left are those across components that share a key; pairs inside one component need no
-    check, as they cannot change the result. No pair is checked twice, and none is left out.
+    on. ``prepared`` gives what the pairs of a frame of ids are compared by, with ``bits0`` and ``bits1``,
+    the parity bitmap of each set: two bitmaps differ in no more places than the sets do. ``verified``
+    keeps the pairs (a, b) that do link. First every id meets ``leads`` ids of each of its keys only, so a
+    key with many copies costs that many pairs per copy; more leads leave fewer copies that none of them
+    links to, and change no result. Then the pairs left are those across components that share a key;
+    pairs inside one component need no check, as they cannot change the result. Only pairs that sizes and
+    bitmaps allow leave a join: many sets that share one common passage and little else make no rows
+    there. No pair is verified twice, and none that can link is left out.
     """
-    leaders = postings.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(
-        postings.join(leaders.select("key", "lead"), "key").select("key", "lead", F.struct("id", "n", "left").alias("y")),
-        "shared",
-    )
+    several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = stored(postings.join(several, "key").select("key", "id", "n", "left"), "shared")
+    compared = prepared(shared.select("id").distinct())
+    marks = compared.select("id", "bits0", "bits1")
+    shared = shared.join(marks, "id").select("key", F.struct("id", "n", "left", "bits0", "bits1").alias("y"))
+    # The smallest id under several orders: XOR with a mask makes an order and takes it back.
+    masks = [0x9E3779B97F4A7C15 * i & (1 << 63) - 1 for i in range(leads)]
+    least = [F.min(F.col("y.id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in masks]
+    first = shared.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("first"))
+    first = first.select("key", F.explode("first").alias("lead"))
     stars = stored(
-        shared.where("lead <> y.id").select(F.col("lead").alias("a"), F.col("y.id").alias("b")).distinct(),
+        shared.join(first.join(shared.select("key", F.col("y.id").alias("lead"), F.col("y").alias("x")), ["key", "lead"]), "key")
+        .where("x.id <> y.id")
+        .where(_can_link("x", "y", percent))
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        .distinct(),
         "stars",
     )
-    compared = prepared(shared.select("y.id").distinct())
     near = stored(verified(stars, compared), "links")
     found = components(near)
     member = (
@@ -98,25 +127,28 @@ def connect(
         .select("key", "y", F.coalesce("component", "id").alias("c"))
     )
     groups = member.groupBy("key", "c").agg(
-        F.min("y.n").alias("low"), F.max("y.n").alias("high"), F.max("y.left").alias("left")
+        F.min("y.n").alias("low"),
+        F.max("y.n").alias("high"),
+        F.max("y.left").alias("left"),
+        *[f(f"y.bits{w}").alias(f"{name}{w}") for w in (0, 1) for f, name in ((F.bit_and, "all"), (F.bit_or, "any"))],
     )
     mixed = stored(
         groups.join(groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"),
         "mixed",
     )
-    side = lambda i: mixed.select("key", *[F.col(x).alias(f"{x}{i}") for x in ("c", "low", "high", "left")])
-    need = "ceil({0} * ({1} + {2}) / {3})"
+    side = lambda name: mixed.select("key", F.struct(*[c for c in mixed.columns if c != "key"]).alias(name))
+    apart_bits = " + ".join(f"bit_count((g.all{w} & ~h.any{w}) | (h.all{w} & ~g.any{w}))" for w in (0, 1))
     apart = (
-        side(1)
-        .join(side(2), "key")
-        .where("c1 < c2")
-        .where(f"high1 * 100 >= low2 * {percent} and high2 * 100 >= low1 * {percent}")
-        .where(f"least(left1, left2) >= {need.format(percent, 'low1', 'low2', 100 + percent)}")
-        .select("key", "c1", "c2")
+        side("g")
+        .join(side("h"), "key")
+        .where("g.c < h.c")
+        .where(f"g.high * 100 >= h.low * {percent} and h.high * 100 >= g.low * {percent}")
+        .where(f"least(g.left, h.left) >= ceil({percent} * (g.low + h.low) / {100 + percent})")
+        .where(f"({apart_bits}) * {100 + percent} <= (g.high + h.high) * {100 - percent}")
+        .select("key", F.col("g.c").alias("c1"), F.col("h.c").alias("c2"))
         .join(member.select("key", F.col("c").alias("c1"), F.col("y").alias("p")), ["key", "c1"])
         .join(member.select("key", F.col("c").alias("c2"), F.col("y").alias("q")), ["key", "c2"])
-        .where(f"least(p.n, q.n) * 100 >= greatest(p.n, q.n) * {percent}")
-        .where(f"least(p.left, q.left) >= {need.format(percent, 'p.n', 'q.n', 100 + percent)}")
+        .where(_can_link("p", "q", percent))
         .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")

@@ -173,11 +173,14 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     postings = heads.select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "key"))
     postings = postings.select("key", "id", "n", (F.col("n") - F.col("pos")).alias("left"))
 
-    parts = heads.select("id", "n", "parts")
+    # A part's size is odd or even: one bit each of the parity bitmap.
+    odd = F.transform("parts", lambda p, i: F.call_function("shiftleft", p.cast("bigint").bitwiseAND(F.lit(1)), i))
+    bits = F.aggregate(odd, F.lit(0).cast("bigint"), lambda all_, bit: all_.bitwiseOR(bit))
+    parts = heads.select("id", "n", "parts", bits.alias("bits0"), F.lit(0).cast("bigint").alias("bits1"))
 
     def prepared(ids: DataFrame) -> DataFrame:
         """Set sizes and part sizes of the documents that share a prefix gram."""
-        return parts.join(ids, "id")
+        return stored(parts.join(ids, "id"), "parts")
 
     def verified(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         apart = F.aggregate(
