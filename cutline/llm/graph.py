@@ -102,7 +102,7 @@ def connect(
     there. No pair is verified twice, and none that can link is left out.
     """
     several = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = stored(postings.join(several, "key").select("key", "id", "n", "left"), "shared")
+    shared = stored(postings.join(several.hint("shuffle_hash"), "key").select("key", "id", "n", "left"), "shared")
     compared = prepared(shared.select("id").distinct())
     marks = compared.select("id", "bits0", "bits1")
     shared = shared.join(marks, "id").select("key", F.struct("id", "n", "left", "bits0", "bits1").alias("y"))
@@ -138,6 +138,7 @@ def connect(
     )
     side = lambda name: mixed.select("key", F.struct(*[c for c in mixed.columns if c != "key"]).alias(name))
     apart_bits = " + ".join(f"bit_count((g.all{w} & ~h.any{w}) | (h.all{w} & ~g.any{w}))" for w in (0, 1))
+    one_bits = " + ".join(f"bit_count((p.bits{w} & ~h.any{w}) | (h.all{w} & ~p.bits{w}))" for w in (0, 1))
     apart = (
         side("g")
         .join(side("h"), "key")
@@ -145,8 +146,11 @@ def connect(
         .where(f"g.high * 100 >= h.low * {percent} and h.high * 100 >= g.low * {percent}")
         .where(f"least(g.left, h.left) >= ceil({percent} * (g.low + h.low) / {100 + percent})")
         .where(f"({apart_bits}) * {100 + percent} <= (g.high + h.high) * {100 - percent}")
-        .select("key", F.col("g.c").alias("c1"), F.col("h.c").alias("c2"))
+        .select("key", F.col("g.c").alias("c1"), F.col("h.c").alias("c2"), "h")
         .join(member.select("key", F.col("c").alias("c1"), F.col("y").alias("p")), ["key", "c1"])
+        .where(f"p.n * 100 >= h.low * {percent} and h.high * 100 >= p.n * {percent}")
+        .where(f"({one_bits}) * {100 + percent} <= (p.n + h.high) * {100 - percent}")
+        .drop("h")
         .join(member.select("key", F.col("c").alias("c2"), F.col("y").alias("q")), ["key", "c2"])
         .where(_can_link("p", "q", percent))
         .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
