@@ -67,9 +67,11 @@ def resolve_templating(sql: Column) -> Column:
 
 def plain_sql(sql: Column) -> Column:
     """Lower-case SQL without comments, literal text, identifier quotes or extra blanks."""
+    # One pass, so that whatever opens first wins: literals lose their text, quoted names keep theirs.
+    quoted = r"\"[^\"]*+\"|`[^`]*+`|\[[^\]\n]*+\]"
+    dollars = r"(?<![\w$])\$(\w*+)\$.*?\$\3\$"
     steps = [
-        (r"(?s)('[^']*+')|--[^\n]*+|/\*.*?\*/", "$1 "),
-        (r"'[^']*+'", " '' "),
+        (rf"(?s)(')[^']*+'|({quoted})|{dollars}|--[^\n]*+|/\*.*?\*/", " $1$1$2 "),
         (r"[\"`\[\]]", ""),
         (r"\s*\.\s*", "."),
         (r"\s+", " "),
@@ -183,9 +185,11 @@ def guard_status(plain: Column, references: Column, guarded: Column, target: str
     aliases = target_aliases(references, target)
     # The name occurs but was not read as a table: unknown, never clean.
     mentioned = plain.rlike(rf"(?<!{_LETTER}){_escaped(last_part(target))}(?!{_LETTER}|\.)")
+    # A table that a macro names may be any table.
+    unresolved = F.exists(references, lambda r: r["name"].contains(_PLACEHOLDER))
     return (
         F.when(~F.coalesce(is_readable(plain), F.lit(False)), F.lit(INDETERMINATE))
-        .when((F.size(aliases) == 0) & mentioned, F.lit(INDETERMINATE))
+        .when((F.size(aliases) == 0) & (mentioned | unresolved), F.lit(INDETERMINATE))
         .when(F.size(aliases) == 0, F.lit(NOT_APPLICABLE))
         .when(F.size(F.array_except(aliases, guarded)) == 0, F.lit(SAFE))
         .otherwise(F.lit(VIOLATION))

@@ -17,10 +17,11 @@ def read_queries(
 ) -> DataFrame:
     """Reduce each text once; every nominated table is then judged on the same columns.
 
-    With ``targets``, a text that never contains the name of one is not read for tables and
-    guards: most of a corpus, as a rule.
+    With ``targets``, a text that never contains the name of one, nor a macro that could give it, is
+    not read for tables and guards: most of a corpus, as a rule.
     """
-    names = [F.lower("sql").contains(guard.last_part(target)) for target in targets]
+    macro = F.col("sql").contains("{{")
+    names = [macro | F.lower("sql").contains(guard.last_part(target)) for target in targets]
     touched = reduce(or_, names) if names else F.lit(True)
 
     def when_touched(value: Column) -> Column:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cutline.session import is_small
@@ -41,6 +41,7 @@ class Fit:
     scales: tuple[Scale, ...]
     weights: tuple[float, ...]
     intercept: float
+    positive: float = 1.0
 
     def probability(self) -> Column:
         margin = F.lit(self.intercept)
@@ -49,19 +50,22 @@ class Fit:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
+def _train_facts(frame: DataFrame, features: Sequence[str], *more: Column) -> tuple[Row, dict[str, Scale]]:
+    """Training rows ``n``, the scale of every feature on them, and ``more`` over all rows, in one pass."""
+    trained = F.col("split_name") == TRAIN
+    row = frame.agg(
+        F.count_if(trained).alias("n"),
+        *[F.avg(F.when(trained, F.col(f))).alias(f"m_{i}") for i, f in enumerate(features)],
+        *[F.stddev_pop(F.when(trained, F.col(f))).alias(f"s_{i}") for i, f in enumerate(features)],
+        *more,
+    ).first()
+    # A constant feature is only centred.
+    return row, {f: Scale(row[f"m_{i}"], row[f"s_{i}"] or 1.0) for i, f in enumerate(features)}
+
+
 def train_scales(frame: DataFrame, features: Sequence[str]) -> tuple[int, dict[str, Scale]]:
     """Training rows and the scale of every feature, in one pass."""
-    row = (
-        frame.where(F.col("split_name") == TRAIN)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)],
-            *[F.stddev_pop(f).alias(f"s_{i}") for i, f in enumerate(features)],
-        )
-        .first()
-    )
-    # A constant feature is only centred.
-    scales = {f: Scale(row[f"m_{i}"], row[f"s_{i}"] or 1.0) for i, f in enumerate(features)}
+    row, scales = _train_facts(frame, features)
     return int(row["n"]), scales
 
 
@@ -74,7 +78,10 @@ def fit_models(
     unit-C model. Fits are independent, so a few run at once, as in cross validation.
     """
     features = sorted({f for names in models.values() for f in names})
-    rows, scales = train_scales(frame, features)
+    # Any two labels: the larger one is the positive.
+    facts, scales = _train_facts(frame, features, F.min("label").alias("low"), F.max("label").alias("high"))
+    rows = int(facts["n"])
+    positive = 1.0 if facts["low"] == facts["high"] else float(facts["high"])
     train = frame.where(F.col("split_name") == TRAIN)
 
     def fit(names: Sequence[str]) -> Fit:
@@ -87,13 +94,14 @@ def fit_models(
             tol=TOLERANCE,
         )
         model = solver.fit(
-            train.select(F.col("label").cast("double").alias("label"), vector.alias("features"))
+            train.select((F.col("label") == positive).cast("double").alias("label"), vector.alias("features"))
         )
         return Fit(
             tuple(names),
             tuple(scales[f] for f in names),
             tuple(float(w) for w in model.coefficients),
             float(model.intercept),
+            positive,
         )
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -105,7 +113,7 @@ def fit_models(
 
 
 def scores(frame: DataFrame, fits: Mapping[str, Fit]) -> DataFrame:
-    """Test rows scored by every model, as ``model, label, score``."""
+    """Test rows scored by every model, as ``model, label, score``; label is 1 for the larger of the two codes."""
     pairs = F.array(
         *[
             F.struct(F.lit(name).alias("model"), fit.probability().alias("score"))
@@ -113,7 +121,8 @@ def scores(frame: DataFrame, fits: Mapping[str, Fit]) -> DataFrame:
         ]
     )
     test = frame.where(F.col("split_name") == TEST)
-    return test.select("label", F.inline(pairs))
+    positive = next((fit.positive for fit in fits.values()), 1.0)
+    return test.select((F.col("label") == positive).cast("int").alias("label"), F.inline(pairs))
 
 
 def exact_auc(

@@ -47,6 +47,11 @@ STATEMENTS = [
     ("only in a comment", "select 1 /* from events_after */ from b", "not_applicable"),
     ("no table", "select 1 as x;", "not_applicable"),
     ("expression from", "select extract(day from events.ts) from events where a is distinct from b", "not_applicable"),
+    ("dashes in a quoted name", 'select a."x--y", e.v from apps a join events_after e on e.k = a.k', "violation"),
+    ("comment sign in backticks", "select a.`x/*y`, e.v from apps a join events_after e on e.k = a.k /* z */", "indeterminate"),
+    ("dashes between dollars", "select $$ -- $$, e.v from apps a join events_after e on e.k = a.k", "violation"),
+    ("text between tagged dollars", "select $q$ from events_after $q$ from b", "not_applicable"),
+    ("table of a macro", "select * from {{ var('src') }} p", "indeterminate"),
     ("prose", "this is not sql at all !!! ((", "indeterminate"),
     ("keywords only", "SELECT FROM WHERE", "indeterminate"),
     ("open bracket", "select (1 from events_after", "indeterminate"),

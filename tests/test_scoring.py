@@ -63,6 +63,18 @@ def pairwise(label, score):
     return wins.mean()
 
 
+@pytest.mark.parametrize("low,high", [(1, 2), (-1, 1)])
+def test_any_two_labels_are_one_model(spark, low, high):
+    a, b, label, split = sample()
+    data = [(float(a[i]), float(b[i]), int(label[i]), str(split[i])) for i in range(len(a))]
+    plain = spark.createDataFrame(data, "a double, b double, label int, split_name string")
+    coded = plain.replace({0: low, 1: high}, subset=["label"])
+    names = {"ab": ["a", "b"]}
+    expected, found = fit_models(plain, names), fit_models(coded, names)
+    assert np.allclose(found["ab"].weights, expected["ab"].weights, atol=1e-9)
+    assert model_aucs(coded, found) == model_aucs(plain, expected)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_auc_equals_all_pairs(spark, small):
     rng = random.Random(9)
