@@ -71,6 +71,17 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_reads_whole_lines(spark):
+    cjk = "".join(chr(0x4E00 + 7 * i) for i in range(24))
+    kept = [
+        "https://www.example.com/en/page1?id=77", "https://www.example.com/fr/other/thing", cjk + "".join(map(chr, range(0x5E00, 0x5E20))),
+        cjk + "".join(map(chr, range(0x6E00, 0x6E20))), "abcdefghijklmnopqrstuvwx a b c d e f g h", "abcdefghijklmnopqrstuvwx 1 2 3 4 5 6 7 8",
+    ]
+    rows = [(i, line) for i, line in enumerate(kept)] + [(20, kept[0] + "8"), (21, kept[2] + "x")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(kept)) | {20: "", 21: ""}
+
+
 def test_line_dedup_is_native(spark, texts, capsys):
     docs = spark.createDataFrame([(d, t) for d, t in texts], "doc_id long, text string")
     lines.dedup_lines(docs).explain()
