@@ -82,6 +82,34 @@ def test_line_dedup_reads_whole_lines(spark):
     assert got == dict(enumerate(kept)) | {20: "", 21: ""}
 
 
+def test_line_dedup_recall(spark):
+    """One-character and one-word edits of short lines, against brute force over all five-character shingles."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+
+    def word():
+        return "".join(rng.choice(letters, rng.integers(2, 11)))
+
+    rows, near = [], {}
+    for i in range(300):
+        line = word()
+        while len(line) < 40 + i * 210 // 300:
+            line += " " + word()
+        at = int(rng.integers(0, len(line)))
+        parts = line.split(" ")
+        parts[rng.integers(0, len(parts))] = word()
+        rows.append((i, line))
+        for k, edit in ((1000 + i, line[:at] + "#" + line[at + 1 :]), (2000 + i, " ".join(parts))):
+            a, b = ({t[j : j + 5] for j in range(len(t) - 4)} for t in (line, edit))
+            rows.append((k, edit))
+            near[k] = 100 * len(a & b) >= 80 * len(a | b)
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    true = [k for k, linked in near.items() if linked]
+    assert len(true) > 400 and sum(got[k] for k in true) >= 0.98 * len(true)
+    # An edit of a far edit's line may meet its other edit; no line without a near one is lost.
+    assert not any(got[i] for i in range(300))
+
+
 def test_line_dedup_is_native(spark, texts, capsys):
     docs = spark.createDataFrame([(d, t) for d, t in texts], "doc_id long, text string")
     lines.dedup_lines(docs).explain()
