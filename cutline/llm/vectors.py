@@ -3,8 +3,10 @@
 A rotation of the principal directions is learned on at most ``SAMPLE`` vectors (chosen by hash) so
 that the signs of the rotated vectors are balanced bits. Every vector is coded. Codes are cut into
 chunks; two vectors are candidates when a chunk differs in at most one bit and the whole codes in at
-most ``RADIUS`` of their bits. Candidates are ranked by their original vectors in double precision.
-Chunks widen with the number of vectors, so tables hold about as many rows per cell at any size.
+most a radius of their bits. Candidates are ranked by their original vectors in double precision.
+Chunks widen with the number of vectors, so tables hold about as many rows per cell at any size. A wide
+chunk meets fewer pairs, so chunks of further rotations are added until ``RECALL`` of the pairs at the
+threshold itself, planted around vectors of the sample, are met.
 
 Equal vectors are one class with a weight, so many copies of one vector cost one row, and links count
 all of them. No cell, candidate list or link list is capped.
@@ -29,8 +31,11 @@ from cutline.llm.store import stored
 
 SAMPLE = 20_000
 ROUNDS = 50
-#: Differing bits allowed, as a share of the code: over six standard deviations above the mean at 0.97.
+#: Differing bits allowed at least, as a share of the code: over six standard deviations above the mean at 0.97.
 RADIUS = 0.3
+#: Share of planted pairs at the threshold that the tables meet, and their number.
+RECALL = 0.95
+PLANTED = 4000
 
 
 def rotation(vectors: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -48,20 +53,55 @@ def rotation(vectors: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.n
     return mean, axes @ turn
 
 
+def layout(bits: int, n: int) -> tuple[int, int]:
+    """Chunks of a code, and their width, for ``n`` vectors."""
+    width = max(1, min(bits, max(8, math.ceil(math.log2(max(n, 2))) - 4)))
+    chunks = max(1, bits // width)
+    return chunks, bits // chunks
+
+
+def tabled(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray], least: float, n: int) -> tuple[list[np.ndarray], int, int]:
+    """Projections, number of tables and radius that meet pairs at cosine ``least`` among ``n`` vectors."""
+    mean, projection = model
+    bits = projection.shape[1]
+    chunks, width = layout(bits, n)
+    rng = np.random.default_rng(11)
+    x = np.resize(vectors[:PLANTED], (PLANTED, vectors.shape[1]))
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * side
+    turns, tables, radius = [], 0, 0
+    met = np.zeros(PLANTED, bool)
+    while True:
+        turn = projection
+        if turns:
+            turn = projection @ np.linalg.qr(rng.normal(size=(bits, bits)))[0]
+        turns.append(turn)
+        apart = ((x - mean) @ turn >= 0) != ((y - mean) @ turn >= 0)
+        if tables == 0:
+            radius = max(int(RADIUS * bits), int(np.quantile(apart.sum(axis=1), 0.999)))
+        for i in range(chunks):
+            met |= apart[:, i * width : (i + 1) * width].sum(axis=1) <= 1
+            tables += 1
+            if tables >= chunks and met.mean() >= RECALL:
+                return turns, tables, radius
+
+
 def _coding(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, projection = model.value
-        place = np.uint64(1) << np.arange(projection.shape[1], dtype=np.uint64)
+        mean, turns = model.value
+        place = np.uint64(1) << np.arange(turns[0].shape[1], dtype=np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             x = flat.reshape(batch.num_rows, -1)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            bits = (x - mean) @ projection >= 0
-            codes = (bits * place).sum(axis=1, dtype=np.uint64)
+            codes = [(((x - mean) @ turn >= 0) * place).sum(axis=1, dtype=np.uint64) for turn in turns]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(codes.view(np.int64))], ["id", "v", "code"]
+                [batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in codes]],
+                ["id", "v", *[f"code{k}" for k in range(len(codes))]],
             )
 
     return run
@@ -93,12 +133,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             x = np.vstack([np.eye(dim), -np.eye(dim)])
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         model = rotation(x, min(dim, 64))
-        bits = model[1].shape[1]
+        turns, tables, radius = tabled(x, model, least, n)
+        names = [f"code{k}" for k in range(len(turns))]
         coded = stored(
-            own.select("id", "v").mapInArrow(_coding(spark.sparkContext.broadcast(model)), "id bigint, v array<double>, code bigint"),
+            own.select("id", "v").mapInArrow(
+                _coding(spark.sparkContext.broadcast((model[0], turns))), "id bigint, v array<double>, " + ", ".join(f"{c} bigint" for c in names)
+            ),
             "codes",
         )
-        found = _pairs(coded.select("id", "code"), bits, n)
+        found = _pairs(coded.select("id", *names), model[1].shape[1], n, tables, radius)
         pairs = stored(found, "candidates")
         dot = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
@@ -129,27 +172,29 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     )
 
 
-def _pairs(codes: DataFrame, bits: int, n: int) -> DataFrame:
-    """(a, b) of codes that agree but for one bit in some chunk and for RADIUS in all; each pair once."""
-    width = max(1, min(bits, max(8, math.ceil(math.log2(max(n, 2))) - 4)))
-    tables = max(1, bits // width)
-    width = bits // tables
-    mask = (1 << width) - 1
-    chunk = [F.shiftrightunsigned("code", i * width).bitwiseAND(F.lit(mask)) for i in range(tables)]
-    chunks = codes.withColumn("chunks", F.array(*chunk))
-    held = chunks.select("id", "code", F.posexplode("chunks").alias("t", "key"))
+def _pairs(codes: DataFrame, bits: int, n: int, tables: int, radius: int) -> DataFrame:
+    """(a, b) of codes that agree but for one bit in some chunk and for ``radius`` in all; each pair once."""
+    chunks, width = layout(bits, n)
+    names = [c for c in codes.columns if c != "id"]
+    mask = F.lit((1 << width) - 1).cast("bigint")
+
+    def chunk(code, t: int):
+        return F.shiftrightunsigned(code, t % chunks * width).bitwiseAND(mask)
+
+    held = codes.select("id", *names, F.posexplode(F.array(*[chunk(F.col(names[t // chunks]), t) for t in range(tables)])).alias("t", "key"))
+    # Of two chunks that differ in one bit, the one without the bit asks for the other.
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(width)])
     asked = held.select(
-        F.col("id").alias("a"), F.col("code").alias("ca"), "t", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))).alias("key")
-    )
-    apart = F.col("ca").bitwiseXOR(F.col("code"))
+        F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in names], "t",
+        F.explode(F.transform(F.filter(flips, lambda f: F.col("key").bitwiseAND(f) == 0), lambda f: F.struct(f.alias("flip"), F.col("key").bitwiseOR(f).alias("key")))).alias("ask"),
+    ).select("a", *[f"a{c}" for c in names], "t", (F.col("ask.flip") == 0).alias("same"), F.col("ask.key").alias("key"))
+    apart = [F.col(f"a{c}").bitwiseXOR(F.col(c)) for c in names]
     # A pair met in several tables counts in the first of them.
     earlier = F.lit(False)
     for i in range(tables):
-        differ = F.bit_count(F.shiftrightunsigned(apart, i * width).bitwiseAND(F.lit(mask))) <= 1
-        earlier = earlier | ((F.lit(i) < F.col("t")) & differ)
+        earlier = earlier | ((F.lit(i) < F.col("t")) & (F.bit_count(chunk(apart[i // chunks], i)) <= 1))
     return (
         asked.join(held, ["t", "key"])
-        .where((F.col("a") < F.col("id")) & (F.bit_count(apart) <= int(RADIUS * bits)) & ~earlier)
-        .select("a", F.col("id").alias("b"))
+        .where((~F.col("same") | (F.col("a") < F.col("id"))) & (F.bit_count(apart[0]) <= radius) & ~earlier)
+        .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
     )

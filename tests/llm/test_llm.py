@@ -261,6 +261,26 @@ def test_vectors(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000, 3_000_000])
+def test_vector_tables_meet_the_threshold_at_every_size(spark, n):
+    """Pairs at cosine 0.9 exactly, searched with the tables that ``n`` vectors get."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    model = vectors.rotation(np.vstack([x, y]), 64)
+    turns, tables, radius = vectors.tabled(x, model, 0.9, n)
+    place = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    codes = [((((np.vstack([x, y]) - model[0]) @ t >= 0) * place).sum(1, dtype=np.uint64)).view(np.int64) for t in turns]
+    names = [f"code{k}" for k in range(len(turns))]
+    frame = spark.createDataFrame([(i, *[int(c[i]) for c in codes]) for i in range(1200)], ", ".join(["id long", *[f"{c} long" for c in names]]))
+    found = [tuple(r) for r in vectors._pairs(frame, 64, n, tables, radius).collect()]
+    assert len(found) == len(set(found))
+    assert sum((i, 600 + i) in set(found) for i in range(600)) >= 0.9 * 600
+
+
 def test_urls(spark):
     rows = [
         (1, "https://www.EXAMPLE.com/en/1"), (2, "http://x.example.com/en/2?q=1"), (3, "http://a.net/es/3"), (4, "ftp://b.com"),
