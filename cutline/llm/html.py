@@ -1,10 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line per block element. Lines of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, and lines that are mostly links, count as empty. Sums of
-text length over sliding windows of lines surge where text begins and dive to nothing where it ends;
-the stretch between a surge and its dive that holds most text is the article, and all its lines are
-kept. Gaps shorter than a window do not end it.
+notices, adverts, forms and reader comments, and lines that are mostly links, are noise. Sums of
+text length over sliding windows of lines surge where text begins and dive to nothing where it ends.
+Menus, headers, footers and lines of links count as empty there; other noise is left out, so an advert
+does not end a text. The stretch between a surge and its dive that holds most text is the article, and
+all its lines are kept; so are all others, noise apart, of the innermost ``article``, or else ``main``,
+that holds most of the stretch. Gaps shorter than a window do not end it.
+
+A class or id is noise by its words, but not as a state (``has-sidebar``) and not around a ``main`` or
+the ``h1`` of an ``article``. A page that has no text but in elements named so is read without their names.
 
 Defined results: null or empty html gives an empty text; unclosed or cut tags end with the page; a
 repeated page is extracted per row; other columns are not read.
@@ -37,6 +42,9 @@ _NOISE = {
     "newsletter", "notice", "notices", "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget", "disqus", "respond", "replies",
 }
+_STATES = {"has", "with", "no", "without", "is", "not", "hide", "show"}
+#: Elements between the parts of a page. Other noise may stand amid a text.
+_PARTS = {"nav", "header", "footer", "menu", "head"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 
 _TAG = re.compile(
@@ -50,42 +58,59 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _noise(tag: str, attributes: str, inside: list) -> bool:
-    if tag == "header" and any(t in ("article", "main") for t, _ in inside):
-        return False
+def _noise(tag: str, attributes: str, inside: list, named: bool) -> int:
+    """0 for no noise, 1 for noise, 2 for noise by class or id only."""
+    if tag == "header" and any(t in ("article", "main") for t, *_ in inside):
+        return 0
     if tag in _ASIDE:
-        return True
+        return 1
     if not attributes or attributes == "/" or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     if _HIDDEN.search(attributes):
-        return True
+        return 1
     role = _ROLE.search(attributes)
     if role and role[1].lower() in _ROLES:
-        return True
-    return any(w in _NOISE for m in _NAMED.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower()))
-
-
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, is noise) of every block in page order."""
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []
+        return 1
+    if named:
+        for m in _NAMED.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = _WORDS.findall(name)
+                if words and words[0] not in _STATES and any(w in _NOISE for w in words):
+                    return 2
+    return 0
+
+
+def lines(page: str, named: bool = True) -> list[tuple[str, bool, bool, int]]:
+    """(text, is noise, may stand amid a text, number of the article or main around it or 0) of every block in page order."""
+    out: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, int, int]] = []
     buffer: list[str] = []
-    noisy = links = 0
-    linked = 0
+    noisy = parted = links = 0
+    linked = opened = 0
     place, size = 0, len(page)
 
     def flush():
         nonlocal linked
         text = " ".join(entities.unescape("".join(buffer)).split())
-        if text or noisy:
-            out.append((text, noisy > 0 or linked > LINKED * len(text)))
+        if text or parted:
+            holders = [n for t, _, n in stack if t == "article"] or [n for t, _, n in stack if t == "main"]
+            out.append((text, noisy > 0 or linked > LINKED * len(text), noisy > 0 and not parted, holders[-1] if holders else 0))
         buffer.clear()
         linked = 0
 
     def drop(depth: int):
-        nonlocal noisy
+        nonlocal noisy, parted
         while len(stack) > depth:
-            noisy -= stack.pop()[1]
+            gone, noise, _ = stack.pop()
+            noisy -= noise > 0
+            parted -= noise > 0 and gone in _PARTS
+
+    def clear():
+        # What holds the main part or an article's headline is no noise for its name.
+        nonlocal noisy
+        if all(noise != 1 for _, noise, _ in stack):
+            noisy = parted
+            stack[:] = [(t, 0, n) for t, _, n in stack]
 
     while place < size:
         m = _TAG.search(page, place)
@@ -124,22 +149,25 @@ def lines(page: str) -> list[tuple[str, bool]]:
             # A new block ends an open paragraph, a new item the open item.
             if tag in _BLOCK and stack and stack[-1][0] == "p":
                 drop(len(stack) - 1)
-            noise = _noise(tag, attributes, stack)
+            if noisy and (tag == "main" or tag == "h1" and any(t == "article" for t, *_ in stack)):
+                clear()
+            noise = _noise(tag, attributes, stack, named)
             if noise or tag in _BLOCK:
                 if noise and tag not in _BLOCK:
                     flush()
-                stack.append((tag, noise))
-                noisy += noise
+                opened += 1
+                stack.append((tag, noise, opened))
+                noisy += noise > 0
+                parted += noise > 0 and tag in _PARTS
         if close and tag not in _BLOCK and not buffer:
             continue
     flush()
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its blocks joined by two line ends."""
-    rows = lines(page or "")
-    length = [0 if noise else len(text) for text, noise in rows]
+def _article(rows: list[tuple[str, bool, bool, int]]) -> str:
+    rows = [(text, 0 if noise else len(text), holder) for text, noise, amid, holder in rows if not amid]
+    length = [size for _, size, _ in rows]
     best, best_size, i, n = (0, 0), 0, 0, len(rows)
     window = [sum(length[k : k + WINDOW]) for k in range(n)]
     while i < n:
@@ -152,7 +180,16 @@ def main_text(page: str | None) -> str:
         size = sum(length[surge:i])
         if size > best_size:
             best, best_size = (surge, i), size
-    return "\n\n".join(rows[k][0] for k in range(*best) if length[k])
+    held: dict[int, int] = {}
+    for _, size, holder in rows[slice(*best)]:
+        held[holder] = held.get(holder, 0) + size
+    most = max(held, key=held.get, default=0)
+    return "\n\n".join(rows[k][0] for k in range(n) if length[k] and (best[0] <= k < best[1] or most and rows[k][2] == most))
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: its blocks joined by two line ends."""
+    return _article(lines(page or "")) or _article(lines(page or "", False))
 
 
 def _extracting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

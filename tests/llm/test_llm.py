@@ -261,6 +261,31 @@ def test_vectors(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "amid",
+    [
+        '<div class="ad"><p>x</p></div>', "<aside><p>y</p><p>z</p></aside>", '<div class="promo"><p>a</p><p>b</p><p>c</p></div>' * 3,
+        '<div class="related"><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></div>',
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_main_text_goes_on_after_noise(amid, around):
+    page = f"<body><nav><ul><li><a>Menu</a><li><a>More</a></ul></nav><{around}><p>{'a' * 900}<p>{'b' * 800}{amid}<p>{'c' * 700}<p>{'d' * 600}</{around}></body>"
+    assert html.main_text(page) == "\n\n".join(["a" * 900, "b" * 800, "c" * 700, "d" * 600])
+
+
+def test_main_text_keeps_link_lists_parted_text():
+    links = "<ul>" + "".join(f"<li><a href={i}>Item {i}</a></li>" for i in range(5)) + "</ul>"
+    assert html.main_text(f"<article><p>{'a' * 90}</p>{links}<nav><p>x</p><p>y</p></nav><p>{'b' * 70}</p></article>") == "a" * 90 + "\n\n" + "b" * 70
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "social-history", "layout no-widget"])
+def test_main_text_inside_a_wrapper_named_like_noise(name):
+    assert html.main_text(f"<body><div class='{name}'><p>First part</p><p>Second part</p></div></body>") == "First part\n\nSecond part"
+    named = f"<div id='{name}'><main><p>Text</p><div class='ad'>Buy</div><p>Rest</p></main></div><p>x</p>"
+    assert html.main_text(named).startswith("Text\n\nRest")
+
+
 @pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000, 3_000_000])
 def test_vector_tables_meet_the_threshold_at_every_size(spark, n):
     """Pairs at cosine 0.9 exactly, searched with the tables that ``n`` vectors get."""
