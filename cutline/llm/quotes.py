@@ -1,15 +1,15 @@
 """Quotation linking: replies joined to what they quote, with DataFrame functions only.
 
 A line's quote level is the number of ``>`` before its text. Consecutive quoted lines of one level
-are a passage. Passages are normalised (markers off, lower case, single spaces) and hashed, whole and
-by their first line; messages are hashed in the same way, whole and by every line of their own text.
+are a passage. Passages are normalised (markers off, lower case, single spaces) and hashed, whole, by
+their first line and by each line; messages are hashed in the same way, whole and by every line of their own text.
 A passage joins the earliest message of its conversation with its hash that comes before the reply,
-or else the earliest such message of any conversation (smallest conv_id, then turn). A whole passage
-counts before a first line, and the outermost, first passage of a message names its parent. Threads
+or else the earliest such message of any other conversation (smallest conv_id, then turn). A whole passage
+counts before a first line, that before any other line, and the outermost, first passage of a message names its parent. Threads
 are roots of parent links inside a conversation, found by pointer doubling; (conv_id, thread_turn,
 turn) is the reply order.
 
-Originals are reduced to one row per hash before the join, so a passage quoted by everyone makes one
+Originals are reduced to two conversations per hash before the join, so a passage quoted by everyone makes one
 row per quote.
 
 Defined results: a null or empty text has an empty body and no quotes; a line of markers only is
@@ -63,12 +63,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         .groupBy("row", "conv_id", "turn", "run", "level")
         .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts"))
         .withColumn("words", F.array_join("parts.line", " "))
-        .withColumn("head", F.get(F.filter("parts.line", lambda s: F.trim(s) != ""), F.lit(0)))
+        .withColumn("said", F.filter("parts.line", lambda s: F.trim(s) != ""))
+        .withColumn("head", F.get("said", F.lit(0)))
         .where("head is not null")
-        .select("row", "conv_id", "turn", "run", "level", _hash(F.col("words")).alias("whole"), _hash(F.col("head")).alias("first")),
+        .select("row", "conv_id", "turn", "run", "level", _hash(F.col("words")).alias("whole"), _hash(F.col("head")).alias("first"), F.transform("said", _hash).alias("each")),
         "passages",
     )
-    keys = passages.select("row", "conv_id", "turn", "run", "level", F.posexplode(F.array("whole", "first")).alias("rank", "hash"))
+    keys = passages.select("row", "conv_id", "turn", "run", "level", F.posexplode(F.concat(F.array("whole", "first"), "each")).alias("rank", "hash"))
     asked = keys.select("hash").distinct()
     texts = rows.where("conv_id is not null and turn is not null and body <> ''").select(
         "conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("body"), F.split("body", "\n")))).alias("part")
@@ -80,15 +81,18 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         "originals",
     )
     near = originals.withColumnRenamed("turn", "near_turn")
-    far = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    # The two smallest conversations: one of them is not the reply's own.
+    two = originals.withColumn("n", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("n <= 2")
+    place = F.struct("conv_id", "turn")
+    far = two.groupBy("hash").agg(F.min(place).alias("far"), F.max(place).alias("other"))
     met = keys.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
     here = F.col("near_turn") < F.col("turn")
-    there = F.col("far.conv_id") != F.col("conv_id")
+    away = F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")).when(F.col("other.conv_id") != F.col("conv_id"), F.col("other"))
     linked = met.withColumn(
-        "to", F.when(here, F.struct("conv_id", F.col("near_turn").alias("turn"))).when(there, F.col("far"))
+        "to", F.when(here, F.struct("conv_id", F.col("near_turn").alias("turn"))).otherwise(away)
     ).where("to is not null")
     best = linked.groupBy("row").agg(
-        F.min(F.struct("level", F.when(here, 0).otherwise(1).alias("abroad"), "rank", "run", "to")).alias("best")
+        F.min(F.struct("level", (F.col("rank") > 1).alias("by_line"), F.when(here, 0).otherwise(1).alias("abroad"), "rank", "run", "to")).alias("best")
     )
     counts = passages.groupBy("row").agg(F.count("*").alias("n_quotes"), F.max("level").alias("max_level"))
     joined = stored(

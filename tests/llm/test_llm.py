@@ -334,6 +334,16 @@ def test_quotes(spark):
     assert got[3, 0]["parent_turn"] is None and got[3, 0]["n_quotes"] == 1 and got[2, 1]["body"] == ""
 
 
+def test_quotes_of_later_lines_and_other_conversations(spark):
+    rows = [
+        (1, 0, "u", "opening words here\nthe second paragraph"), (1, 1, "a", "> words here\n> the second paragraph\nyes"),
+        (2, 0, "u", "> shared sentence\nno"), (2, 1, "a", "shared sentence"), (3, 0, "u", "shared sentence"), (4, 0, "u", "shared sentence"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1, 1]["parent_conv"], got[1, 1]["parent_turn"]) == (1, 0)
+    assert (got[2, 0]["parent_conv"], got[2, 0]["parent_turn"]) == (3, 0)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
