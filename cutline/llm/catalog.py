@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, html, licences, lines, ngram_join, packing, quotes, toxicity, urls, vectors
+from cutline.llm import decontaminate, html, licences, lines, ngram_join, packing, quotes, toxicity, urls, vectors, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,10 +64,15 @@ def op10_url_filter(spark, folder):
     return urls.judge(table(spark, folder, "pages"))
 
 
+def op13_embedding_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_best_fit_packing, op2_quote_linking, op3_decontamination, op4_ngram_join, op5_licence_scan,
         op6_toxicity, op7_line_dedup, op8_main_text, op9_near_vectors, op10_url_filter,
+        op13_embedding_whitening,
     )
     return {f.__name__: f for f in own}
 
