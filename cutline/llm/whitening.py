@@ -225,10 +225,11 @@ class RealRooted:
         top = Fraction(1 << max(1, abs(self.c[-2]).bit_length()))
         out, met = [], 0
         while met < count:
+            # Each search halves the same first interval, so its points stay short and counts are shared.
             low, high = Fraction(0), top
             while True:
                 inside = self.beyond(low) - met
-                if inside == 1 or (low and (high - low) * (1 << bits) <= low):
+                if (inside == 1 and self.beyond(high) == met) or (low and (high - low) * (1 << bits) <= low):
                     break
                 middle = (low + high) / 2
                 if self.beyond(middle) > met:
@@ -246,7 +247,7 @@ class RealRooted:
                     else:
                         high = middle
             out.append((high, inside))
-            met, top = met + inside, low if inside > 1 else high
+            met += inside
         return out
 
 
