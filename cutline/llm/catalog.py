@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, html, licences, lines, ngram_join, packing, quotes, repair, toxicity, urls, vectors, whitening
+from cutline.llm import decontaminate, html, licences, lines, ngram_join, packing, quality, quotes, repair, toxicity, urls, vectors, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,17 @@ def op11_conversation_repair(spark, folder):
     return repair.repair(table(spark, folder, "conversations"))
 
 
+def op12_byte_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = quality.learn(docs, table(spark, folder, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op13_embedding_whitening(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -76,7 +87,7 @@ def queries() -> dict[str, Query]:
     own = (
         op1_best_fit_packing, op2_quote_linking, op3_decontamination, op4_ngram_join, op5_licence_scan,
         op6_toxicity, op7_line_dedup, op8_main_text, op9_near_vectors, op10_url_filter,
-        op11_conversation_repair, op13_embedding_whitening,
+        op11_conversation_repair, op12_byte_quality, op13_embedding_whitening,
     )
     return {f.__name__: f for f in own}
 
