@@ -3,12 +3,13 @@
 Folding lower-cases, maps look-alike letters and digits or signs used as letters to plain letters,
 and leaves words with one space around each. Lexicon entries are whole words or beginnings of words.
 Their weights are log odds of document counts under the two labels, kept when the difference cannot
-be chance; a short list of common insults has a prior weight, so a small label set also works.
+be chance; a short list of common insults has a prior weight until ``SEEN`` labelled texts hold them.
 Phrases around an entry that are mostly clean in the labelled texts become exceptions, whose matches
 do not count. A logistic curve over the sum of weights, plain and by text length, gives the score.
 
-Word counts use every labelled text. ``LEXICON`` bounds the lexicon and ``SAMPLE`` the texts that fit
-the curve (both documented parameters; chosen by weight and by hash).
+The fit reads at most ``FIT_ROWS`` labelled ids, chosen by hash of the id, so that their ids can be sent to
+the texts and no text is shuffled. ``LEXICON`` bounds the lexicon and ``SAMPLE`` the texts that fit the curve
+(documented parameters; chosen by evidence and by hash). Scoring reads every text whole.
 
 Defined results: null and empty texts score as texts without a match. Rows with a null label are not
 learned from. A doc_id that repeats is scored per row. Other columns are never read.
@@ -25,6 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.llm.store import stored
+
+FIT_ROWS = 60_000
 LEXICON = 20_000
 SAMPLE = 20_000
 #: Lengths of word beginnings that may become entries.
@@ -33,6 +37,7 @@ STEMS = (4, 5, 6)
 EVIDENCE = 30.0
 LEAST_WEIGHT = 2.5
 PRIOR = 4.0
+SEEN = 10
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "pathetic", "worthless", "disgusting", "trash", "clown")
 
 # Look-alike letters of other scripts, and digits and signs used as letters: fixed values.
@@ -99,7 +104,7 @@ def automaton(weights: dict[str, float]):
 
 
 def matches(machine, folded: str):
-    """(entry, weight, place of its first letter) of the longest entry of each word."""
+    """(entry, weight, place of its first letter) of the heaviest entry of each word."""
     best: dict[int, tuple[str, float]] = {}
     if len(machine):
         for end, (entry, weight) in machine.iter(folded):
@@ -193,7 +198,8 @@ def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.05)
 def learn(labelled: DataFrame) -> Model:
     """A model from rows (doc_id, text, toxic 0/1)."""
     spark = labelled.sparkSession
-    rows = labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
+    # Written once: every pass below reads these texts, and the join that found them runs once.
+    rows = stored(labelled.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id"), "labelled")
     bad, good = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     weights = {f" {w} ": PRIOR for w in SEEDS}
     if not bad or not good:
@@ -211,8 +217,13 @@ def learn(labelled: DataFrame) -> Model:
     evidence = 2 * (
         part(F.col("bad"), seen * (bad / (bad + good))) + part(F.col("good"), seen * (good / (bad + good)))
     )
+    counts = stored(counts.withColumn("weight", weight).withColumn("evidence", evidence), "entries")
+    for r in counts.where(F.col("entry").isin(*weights) & (seen >= SEEN)).collect():
+        del weights[r["entry"]]
+        if r["weight"] >= LEAST_WEIGHT:
+            weights[r["entry"]] = float(r["weight"])
     chosen = (
-        counts.where("bad >= 3").withColumn("weight", weight).withColumn("evidence", evidence)
+        counts.where("bad >= 3")
         .where((F.col("evidence") >= EVIDENCE) & (F.col("weight") >= LEAST_WEIGHT))
         .orderBy(F.desc("evidence"), "entry").limit(LEXICON)
     )
@@ -275,7 +286,8 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the held-out fifth; a doc_id with both labels counts as toxic."""
-    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
-    return docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """Texts of at most ``rows`` labelled ids outside the held-out fifth; an id with both labels counts as toxic."""
+    known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic is not null")
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("rows")), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -361,3 +361,20 @@ def test_pipeline(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == steps[4].count()
     for step in steps[1:]:
         step.unpersist()
+
+
+def test_seeds_yield_to_labels(spark):
+    rows = [(i, f"the clown came {i} times, word{i % 7}", 0) for i in range(300)] + [(1000 + i, f"you vermin {i}, word{i % 7}", 1) for i in range(100)]
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert " clown " not in model.weights and " vermin " in model.weights and " idiot " in model.weights
+    docs = spark.createDataFrame([(1, "a clown"), (2, "you vermin"), (3, "an idiot")], "doc_id long, text string")
+    assert [r["score"] >= 0.5 for r in toxicity.score(docs, model).orderBy("doc_id").collect()] == [False, True, True]
+
+
+def test_training_rows_of_toxicity(spark):
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(200)] + [(3, False), (None, True)], "doc_id long, t boolean").selectExpr("doc_id", "cast(t as int) toxic")
+    docs = spark.createDataFrame([(i, f"text {i}", "clash") for i in range(200)], "doc_id long, text string, toxic string")
+    held = {i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.training_rows(docs, labels).collect()}
+    assert got == {i: int(i % 3 == 0) for i in range(200) if i not in held}
+    assert toxicity.training_rows(docs, labels, rows=50).count() == 50
