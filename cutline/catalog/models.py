@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cutline.catalog.inputs import customer_decisions, customer_snapshots
+from cutline.catalog.newton_sql import newton_sql
 from cutline.catalog.registry import register, table
 from cutline.operators.asof import reconstruct_wide
+from cutline.operators.contract import BROKEN_RECORDS
 from cutline.operators.corpus import verify_queries
 from cutline.operators.detector import detector_metrics, reach_bands, route_breakdown
 from cutline.operators.scoring import exact_auc, fit_models, scores, train_scales
@@ -158,32 +160,6 @@ def fitted_singles(spark, folder):
     return exact_auc(scores(frame, fits)).withColumn("auc", F.round("auc", 6))
 
 
-@register("fit_and_score", None)
-def fitted(spark, folder):
-    """AUC of a base model and of one with the leaked column, fitted on train rows."""
-    scenario = customer_scenario(spark, folder, CANDIDATES[:1])
-    rebuilt = rebuild(scenario, CANDIDATES[:1])
-    base = ["base_0", "base_1"]
-    fits = fit_models(rebuilt.frame, {"base": base, "leaked": [*base, "observed_0"]})
-    return exact_auc(scores(rebuilt.frame, fits))
-
-
-@register("validate_feature", None)
-def validated(spark, folder) -> DataFrame:
-    report = validate(customer_scenario(spark, folder, CANDIDATES[:1]))
-    rows = [(side, *report[side].values()) for side in ("leakage_case", "safe_control")]
-    names = report["leakage_case"].keys()
-    schema = ", ".join(
-        ["side string", *[f"{n} {'boolean' if n == 'collapsed' else 'double'}" for n in names]]
-    )
-    return spark.createDataFrame(rows, schema)
-
-
-@register("sweep_features", None)
-def swept(spark, folder) -> DataFrame:
-    return sweep(customer_scenario(spark, folder))
-
-
 # With a constant base column every fit ranks rows by its one feature, in the direction of the
 # feature's covariance with the label, so the whole sweep has an exact SQL twin.
 _EXACT = f"""WITH {_CUSTOMERS},
@@ -239,6 +215,74 @@ findings AS (
 """
 
 
+# The base model, the control and both sides of every candidate, each on standardised columns.
+_REFIT = _EXACT.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + newton_sql(
+    """
+  SELECT 'base' AS model, label, (k * 31) % 10 < 7 AS trained, debt AS x1, (k % 7)::DOUBLE AS x2, 0.0::DOUBLE AS x3 FROM customers
+  UNION ALL SELECT 'control', label, (k * 31) % 10 < 7, debt, (k % 7)::DOUBLE, prior * 10 FROM customers
+  UNION ALL SELECT s.feature || ':' || s.side, s.label, (k * 31) % 10 < 7, debt, (k % 7)::DOUBLE, s.x
+  FROM sides AS s JOIN customers USING (k)""",
+    3,
+) + """,
+metrics AS (
+  SELECT name, b.auc AS baseline_auc, o.auc AS observed_auc, p.auc AS point_in_time_auc,
+    round(o.auc - b.auc, 6) AS observed_advantage, round(p.auc - b.auc, 6) AS point_in_time_advantage
+  FROM (SELECT DISTINCT feature AS name, feature || ':observed' AS seen, feature || ':point_in_time' AS kept FROM sides
+    UNION ALL SELECT 'safe_control', 'control', 'control') AS a
+  JOIN auc_of AS o ON o.model = a.seen JOIN auc_of AS p ON p.model = a.kept JOIN auc_of AS b ON b.model = 'base'),
+refit AS (
+  SELECT *, CASE WHEN observed_advantage > 0 THEN point_in_time_advantage / observed_advantage ELSE 1.0 END AS share FROM metrics),
+refit_findings AS (
+  SELECT name, baseline_auc, observed_auc, point_in_time_auc, observed_advantage, point_in_time_advantage,
+    round(share, 6) AS advantage_retained, observed_advantage >= 0.05 AND share <= 0.5 AS collapsed FROM refit)
+"""
+
+
+@register(
+    "fit_and_score",
+    f"""{_REFIT}
+SELECT CASE model WHEN 'base' THEN 'base' ELSE 'leaked' END AS model, auc, positives, negatives
+FROM auc_of WHERE model IN ('base', 'days_since_last:observed')""",
+)
+def fitted(spark, folder):
+    """AUC of a base model and of one with the leaked column, fitted on train rows."""
+    scenario = customer_scenario(spark, folder, CANDIDATES[:1])
+    rebuilt = rebuild(scenario, CANDIDATES[:1])
+    base = ["base_0", "base_1"]
+    fits = fit_models(rebuilt.frame, {"base": base, "leaked": [*base, "observed_0"]})
+    return exact_auc(scores(rebuilt.frame, fits)).withColumn("auc", F.round("auc", 6))
+
+
+@register(
+    "validate_feature",
+    f"""{_REFIT}
+SELECT CASE name WHEN 'safe_control' THEN name ELSE 'leakage_case' END AS side, * EXCLUDE (name)
+FROM refit_findings WHERE name IN ('safe_control', 'days_since_last')""",
+)
+def validated(spark, folder) -> DataFrame:
+    report = validate(customer_scenario(spark, folder, CANDIDATES[:1]))
+    rows = [(side, *report[side].values()) for side in ("leakage_case", "safe_control")]
+    names = report["leakage_case"].keys()
+    schema = ", ".join(
+        ["side string", *[f"{n} {'boolean' if n == 'collapsed' else 'double'}" for n in names]]
+    )
+    return spark.createDataFrame(rows, schema)
+
+
+@register(
+    "sweep_features",
+    f"""{_REFIT}
+SELECT (CASE name WHEN 'days_since_last' THEN 0 WHEN 'partly_leaked' THEN 1 WHEN 'honest_history' THEN 2 ELSE 3 END)::INTEGER AS position,
+  name AS feature, 'evaluated' AS status, NULL AS reason, * EXCLUDE (name, excluded),
+  round(observed_advantage * (1 - advantage_retained), 6) + 0 AS advantage_lost, excluded AS excluded_post_cutoff_records
+FROM refit_findings, late_rows WHERE name <> 'safe_control'
+UNION ALL
+SELECT 4, 'gappy', 'could_not_evaluate', '{BROKEN_RECORDS}', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
+)
+def swept(spark, folder) -> DataFrame:
+    return sweep(customer_scenario(spark, folder))
+
+
 def exact_scenario(spark, folder, features=CANDIDATES) -> Scenario:
     scenario = customer_scenario(spark, folder, features)
     flat = scenario.decisions.withColumn("base_0", F.lit(1.0)).drop("base_1")

@@ -37,7 +37,6 @@ def benchmark(
     queries: DataFrame,
     coverages: Sequence[float] = COVERAGES,
     seeds: Sequence[int] = SEEDS,
-    parallelism: int = 8,
     draw: Callable[[int], Column] | None = None,
 ) -> DataFrame:
     """Judge every seed and coverage, through the unguarded and through the guarded query.
@@ -65,7 +64,7 @@ def benchmark(
     )
     models = {"baseline": list(base), "clean": [*base, clean]}
     models.update({name: [*base, name] for name in column.values()})
-    aucs = model_aucs(wide, fit_models(wide, models, parallelism))
+    aucs = model_aucs(wide, fit_models(wide, models))
     clock = wide.agg(
         F.max("prediction_time").alias("cutoff"),
         F.max(latest_at).alias("late"),

@@ -26,7 +26,6 @@ def sweep(
     scenario: Scenario,
     candidates: Sequence[str] | None = None,
     spread: SpreadPolicy = SpreadPolicy(),
-    parallelism: int = 8,
 ) -> DataFrame:
     """One row per candidate, ranked by the advantage lost to the cutoff.
 
@@ -48,7 +47,7 @@ def sweep(
     for n in good:
         models[rebuilt.observed(n)] = [*base, rebuilt.observed(n)]
         models[rebuilt.point_in_time(n)] = [*base, rebuilt.point_in_time(n)]
-    aucs = model_aucs(rebuilt.frame, fit_models(rebuilt.frame, models, parallelism))
+    aucs = model_aucs(rebuilt.frame, fit_models(rebuilt.frame, models))
     rows = []
     for position, n in enumerate(names):
         if n in good:

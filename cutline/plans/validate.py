@@ -153,7 +153,7 @@ def compare_aucs(spark, aucs: DataFrame, rules: Rules) -> DataFrame:
     return aucs.select("name", *[value.alias(name) for name, value in metrics.items()])
 
 
-def validate(scenario: Scenario, spread: SpreadPolicy = SpreadPolicy(), parallelism: int = 8) -> dict:
+def validate(scenario: Scenario, spread: SpreadPolicy = SpreadPolicy()) -> dict:
     """Full audit of the scenario's first feature; returns a JSON-ready report.
 
     ``self_check`` says whether the planted-leak checks held; ``verdicts`` say what is true of
@@ -180,7 +180,7 @@ def validate(scenario: Scenario, spread: SpreadPolicy = SpreadPolicy(), parallel
         # A control with history is put through the cutoff as well, not compared to itself.
         models[CONTROL] = [*base, rebuilt.observed(control)]
         models[CONTROL_REBUILT] = [*base, rebuilt.point_in_time(control)]
-    aucs = model_aucs(rebuilt.frame, fit_models(rebuilt.frame, models, parallelism))
+    aucs = model_aucs(rebuilt.frame, fit_models(rebuilt.frame, models))
     report = _report(scenario, rebuilt, aucs, control_rebuilt)
     report["runtime_seconds"] = round(time.perf_counter() - started, 6)
     return report

@@ -10,7 +10,7 @@ from conftest import rows
 
 from cutline.catalog import models
 from cutline.operators.detector import contaminated
-from cutline.operators.scoring import exact_auc, fit_models, model_aucs
+from cutline.operators.scoring import exact_auc, fit_models, model_aucs, scores
 from cutline.plans.scenario import Rules
 from cutline.plans.sweep import sweep
 from cutline.plans.validate import compare_aucs, validate
@@ -157,3 +157,42 @@ def test_contamination_is_deterministic_and_grows(spark):
     assert sets[0] == set() and len(sets[3]) == len(sets[4]) == 2000
     assert sets[1] < sets[2] < sets[3]
     assert 700 < len(sets[2]) < 900
+
+
+def jobs_of(spark, work):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fits", "")
+    try:
+        before = len(tracker.getJobIdsForGroup("fits"))
+        work()
+        return len(tracker.getJobIdsForGroup("fits")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_grow_with_the_models(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 12))
+    label = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    rows_ = [(*map(float, v), int(y), "train") for v, y in zip(x, label, strict=True)]
+    frame = spark.createDataFrame(rows_, ", ".join(f"c{i} double" for i in range(12)) + ", label int, split_name string").cache()
+    frame.count()
+    one = jobs_of(spark, lambda: fit_models(frame, {"a": ["c0", "c1"]}))
+    many = {f"m{i}": ["c0", f"c{i}"] for i in range(1, 12)} | {"wide": [f"c{i}" for i in range(12)], "none": []}
+    assert jobs_of(spark, lambda: fit_models(frame, many)) <= one + 4
+    fits = fit_models(frame, many)
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    assert np.allclose([fits["wide"].intercept, *fits["wide"].weights], newton(scaled, label), atol=1e-8)
+    assert np.allclose([fits["m7"].intercept, *fits["m7"].weights], newton(scaled[:, [0, 7]], label), atol=1e-8)
+
+
+def test_separable_single_label_and_no_training_rows(spark):
+    schema = "a double, label int, split_name string"
+    apart = spark.createDataFrame([(float(i), int(i >= 50), "train") for i in range(100)] + [(1.0, 0, "test"), (90.0, 1, "test")], schema)
+    fits = fit_models(apart, {"a": ["a"]})
+    scaled = (np.arange(100) - 49.5) / np.arange(100).std()
+    assert np.allclose([fits["a"].intercept, *fits["a"].weights], newton(scaled[:, None], (np.arange(100) >= 50).astype(int)), atol=1e-7)
+    ones = apart.where("label = 1")
+    assert {r["score"] for r in scores(ones, fit_models(ones, {"a": ["a"]})).collect()} == {1.0}
+    with pytest.raises(ValueError, match="no training rows"):
+        fit_models(apart.where("split_name = 'test'"), {"a": ["a"]})
