@@ -56,7 +56,7 @@ KINDS = (
         " on p.k = a.k and coalesce(p.available_at, p.ts) <= a.prediction_time /*@*/",
         "safe", "safe", False, "apps,payments_after",
     ),
-    ("@", "indeterminate", "indeterminate", False, None),
+    ("@", "indeterminate", "indeterminate", False, ""),
     (
         "select a.id from apps a, payments_after p where p.available_at between a.start and a.prediction_time /*@*/",
         "violation", "violation", False, "apps,payments_after",
@@ -88,6 +88,37 @@ KINDS = (
         " select * from late /*@*/",
         "not_applicable", "safe", False, "apps,disputes_after,late",
     ),
+    (
+        "select p.available_at <= a.prediction_time as ok, p.v, '@' from apps a join payments_after p on a.id = p.id",
+        "violation", "violation", False, "apps,payments_after",
+    ),
+    (
+        "select 1 /*@*/ from apps a join payments_after p on"
+        " f1(f2(f3(f4(f5(f6(f7(f8(p.available_at, 1), 2), 3), 4), 5), 6), 7), 8) <= ((((((((a.prediction_time))))))))",
+        "safe", "safe", False, "apps,payments_after",
+    ),
+    (
+        "select (select 1 from b where b.k = 1), p.available_at <= a.prediction_time from apps a"
+        " join payments_after p on p.k = a.k /*@*/",
+        "violation", "violation", False, "apps,b,payments_after",
+    ),
+    (
+        "select E'\\'--', p.v from apps a join payments_after p on p.k = a.k /*@*/",
+        "violation", "violation", False, "apps,payments_after",
+    ),
+    (
+        "select '\\'--', p.v from apps a join payments_after p on p.available_at <= a.prediction_time /*@*/",
+        "indeterminate", "indeterminate", False, "",
+    ),
+    (
+        "select 1 /*@*/ from apps a join payments_after p on p.k = a.k # and p.available_at <= a.prediction_time",
+        "indeterminate", "indeterminate", False, "",
+    ),
+    (
+        "select 1 from apps a join payments_after p on p.k in (select k from b where b.v = 1 /*@*/)"
+        " and p.available_at <= a.prediction_time",
+        "safe", "safe", False, "apps,b,payments_after",
+    ),
 )
 
 
@@ -122,6 +153,18 @@ _ONE = _case([k[1] for k in KINDS])
 _BOTH = _case([k[2] for k in KINDS])
 _WEAK = _case([k[3] for k in KINDS])
 _TABLES = _case([k[4] for k in KINDS])
+_REASONS = {
+    "indeterminate": "The text could not be read as a query.",
+    "not_applicable": "The post-outcome source is not read by this query.",
+    "safe": "An availability cutoff protects the post-outcome source.",
+    "violation": "The post-outcome source is read, but no available_at <= prediction_time cutoff holds.",
+}
+_WHY = _case(
+    [
+        _REASONS[k[2]] + (" available_at is never mentioned." if k[2] == "violation" and "available_at" not in k[0] else "")
+        for k in KINDS
+    ]
+)
 
 
 @register(
@@ -136,24 +179,25 @@ def status(spark, folder):
 
 @register(
     "referenced_tables",
-    f"SELECT doc_id, {_TABLES} AS tables FROM documents WHERE doc_id % {len(KINDS)} <> 8",
+    f"SELECT doc_id, {_TABLES} AS tables FROM documents",
 )
 def tables(spark, folder):
     verified = verify_queries(query_texts(spark, folder), PAYMENTS)
-    # Prose around no statement names no table worth reporting.
-    kept = verified.where(F.pmod("doc_id", F.lit(len(KINDS))) != 8)
-    return kept.select("doc_id", F.array_join("referenced_tables", ",").alias("tables"))
+    return verified.select("doc_id", F.array_join("referenced_tables", ",").alias("tables"))
 
 
 @register(
     "scan_corpus",
     f"""WITH scanned AS (SELECT doc_id, {_BOTH} AS status, {_ONE} AS first FROM documents)
 SELECT doc_id, status, CASE WHEN first = 'violation' THEN '{PAYMENTS}'
-  WHEN status = 'violation' THEN '{DISPUTES}' END AS post_outcome_table FROM scanned""",
+  WHEN status = 'violation' THEN '{DISPUTES}' END AS post_outcome_table, {_WHY} AS reason,
+  {_TABLES} AS tables, {_WEAK} AS weak_guard FROM scanned""",
 )
 def scan(spark, folder):
     scanned = scan_corpus(query_texts(spark, folder), [PAYMENTS, DISPUTES])
-    return scanned.select("doc_id", "status", "post_outcome_table")
+    return scanned.select(
+        "doc_id", "status", "post_outcome_table", "reason", F.array_join("referenced_tables", ",").alias("tables"), "weak_guard"
+    )
 
 
 @register(

@@ -16,11 +16,13 @@ VIOLATION = "violation"
 INDETERMINATE = "indeterminate"
 NOT_APPLICABLE = "not_applicable"
 
-# Fixed vocabulary: words that end a clause, and words that cannot be a table alias.
-_CLAUSE_WORDS = (
-    "and or on where join from select having group order limit union intersect except using "
-    "when then else case end qualify window returning set values"
+# Fixed vocabulary: words that open a condition on rows, words that open another clause, words that part
+# conditions, and words that cannot be a table alias.
+_CONDITION_WORDS = ("on", "where")
+_OTHER_CLAUSES = (
+    "select from join having group order limit union intersect except using qualify window returning set values"
 ).split()
+_PARTING_WORDS = "and or when then else case end".split()
 _NOT_AN_ALIAS = (
     "on using where join left right inner outer full cross natural semi anti lateral group order "
     "having limit union intersect except window qualify select from and or set values as when then "
@@ -43,35 +45,53 @@ _STATEMENTS = (
 )
 
 _PLACEHOLDER = "_templated_"
-_NESTING = 6
+# Marks a text whose literals cannot be told from its statement in every dialect.
+_AMBIGUOUS = "\u0001 "
 # Letters of a name; everything beyond ASCII counts as a letter.
 _LETTER = r"[a-z0-9_$\u0080-\uffff]"
 _NAME = r"[a-z0-9_$.\u0080-\uffff\-]+"
 
 
 def resolve_templating(sql: Column) -> Column:
-    """Turn a templated model into plain SQL: names stay, every other macro is neutral."""
-    name = r"['\"]([^'\"]+)['\"]"
-    steps = [
-        (r"(?s)\{#.*?#\}", " "),
-        (r"(?is)\{\{-?\s*(?:config|docs|snapshot|materialization)\s*\(.*?\)\s*-?\}\}", " "),
-        (r"(?s)\{%.*?%\}", " "),
-        (r"\{\{-?\s*source\s*\(\s*" + name + r"\s*,\s*" + name + r"\s*\)\s*-?\}\}", "$1.$2"),
-        (r"\{\{-?\s*ref\s*\(\s*['\"][^'\"]+['\"]\s*,\s*" + name + r"\s*\)\s*-?\}\}", "$1"),
-        (r"\{\{-?\s*ref\s*\(\s*" + name + r"\s*\)\s*-?\}\}", "$1"),
-        (r"(?s)\{\{.*?\}\}", _PLACEHOLDER),
-    ]
+    """Turn a templated model into plain SQL: names stay, every other tag is neutral.
+
+    A tag is read as one unit: comments, statements and calls that only configure leave nothing, a call that
+    names a table leaves its last one or two quoted arguments, any other expression leaves a placeholder.
+    """
+    tags = r"(?s)\{#.*?#\}|\{%.*?%\}|\{\{.*?\}\}"
+    bodies = F.regexp_extract_all(sql, F.lit(tags), F.lit(0))
+    texts = F.split(sql, tags, -1)
+    plain = F.aggregate(
+        F.zip_with(F.slice(texts, 2, F.size(texts)), bodies, lambda text, tag: F.concat(_tag_value(tag), text)),
+        texts[0], lambda whole, part: F.concat(whole, part),
+    )
     templated = sql.contains("{{") | sql.contains("{%") | sql.contains("{#")
-    return F.when(templated, _rewrite(sql, steps)).otherwise(sql)
+    return F.when(templated, plain).otherwise(sql)
+
+
+def _tag_value(tag: Column) -> Column:
+    call = F.lower(F.regexp_extract(tag, r"^\{\{-?\s*(\w+)\s*\(", 1))
+    names = F.regexp_extract_all(tag, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
+    named = {"ref": F.element_at(names, -1), "source": F.array_join(names, ".")}
+    count = {"ref": F.size(names).isin(1, 2), "source": F.size(names) == 2}
+    value = F.when(~tag.startswith("{{") | call.isin("config", "docs", "snapshot", "materialization"), F.lit(" "))
+    for name, table in named.items():
+        value = value.when((call == name) & count[name], table)
+    return value.otherwise(F.lit(_PLACEHOLDER))
 
 
 def plain_sql(sql: Column) -> Column:
-    """Lower-case SQL without comments, literal text, identifier quotes or extra blanks."""
+    """Lower-case SQL without comments, literal text, identifier quotes or extra blanks.
+
+    Where dialects disagree on where a literal or comment ends (a backslash before a quote outside E'...', a
+    number sign that may open a comment), the whole text comes back behind a mark, and escaped names as nothing.
+    """
     # One pass, so that whatever opens first wins: literals lose their text, quoted names keep theirs.
     quoted = r"\"[^\"]*+\"|`[^`]*+`|\[[^\]\n]*+\]"
     dollars = r"(?<![\w$])\$(\w*+)\$.*?\$\3\$"
+    escaped = r"(?<![\w$])[eE]'(?:[^'\\]|\\.)*+'"
     steps = [
-        (rf"(?s)(')[^']*+'|({quoted})|{dollars}|--[^\n]*+|/\*.*?\*/", " $1$1$2 "),
+        (rf"(?s){escaped}|(')[^']*+'|({quoted})|{dollars}|--[^\n]*+|/\*.*?\*/", " $1$1$2 "),
         (r"[\"`\[\]]", ""),
         (r"\s*\.\s*", "."),
         (r"\s+", " "),
@@ -81,7 +101,14 @@ def plain_sql(sql: Column) -> Column:
         (r"\bis (?:not )?distinct from\b", "="),
         (r"\b(extract|trim|substring|overlay)\s*\(([^()]*?)\bfrom\b", "$1($2,"),
     ]
-    return _rewrite(F.lower(F.trim(_rewrite(sql, steps))), in_expressions)
+    plain = _rewrite(F.lower(F.trim(_rewrite(sql, steps))), in_expressions)
+    backslash = sql.contains("\\'") & F.regexp_replace(sql, rf"(?s){escaped}", "").contains("\\'")
+    number_sign = sql.contains("#") & F.regexp_replace(plain, r"\b(?:from|join|into|table|update) #", "").rlike(r"(?:^|[\s;,)])#(?![>\-])")
+    return (
+        F.when(sql.contains("&") & sql.rlike(r"(?i)(?<![\w$])u&[\"']"), F.lit(""))
+        .when(backslash | number_sign, F.concat(F.lit(_AMBIGUOUS), F.lower(sql)))
+        .otherwise(plain)
+    )
 
 
 def table_references(plain: Column) -> Column:
@@ -116,14 +143,43 @@ def referenced_tables(references: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(references, lambda r: r["name"])))
 
 
-def clauses(plain: Column) -> Column:
-    """Text cut at clause words, with function calls flattened, for reading comparisons."""
-    text = F.regexp_replace(plain, r"\b(?:" + "|".join(_CLAUSE_WORDS) + r")\b", ";")
-    flat = text
-    for _ in range(_NESTING):
-        flat = F.regexp_replace(flat, r",(?=[^();]*\))", " ")
-        flat = F.regexp_replace(flat, r"\(([^();,]*)\)", " $1 ")
-    return F.when(text.contains("("), flat).otherwise(text)
+def clauses(plain: Column, available: str, prediction: str) -> Column:
+    """Conditions after ON and WHERE that name both columns, cut at AND and its like, joined by ``;``.
+
+    One fold over the words. Every open parenthesis holds what it stands in: 1 within a condition, 0 in any
+    other clause, and 2 more in a subquery, whose end also ends the condition. Calls are flattened at any depth.
+    """
+    words = F.regexp_extract_all(F.regexp_replace(plain, r"\bdistinct on\b", "distinct"), F.lit(r"[(),;]|[^(),;\s]+"), F.lit(0))
+    nothing = F.struct(F.array(F.lit(0)).alias("levels"), F.lit("").alias("text"), F.array().cast("array<string>").alias("found"))
+
+    def kept(state: Column) -> Column:
+        both = state["text"].contains(available.lower()) & state["text"].contains(prediction.lower())
+        return F.when(both, F.array_append(state["found"], state["text"])).otherwise(state["found"])
+
+    def step(state: Column, word: Column) -> Column:
+        levels = state["levels"]
+        top, outer = F.element_at(levels, -1), F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0)))
+        opens, closes = word.isin(*_CONDITION_WORDS), word == ")"
+        moved = (
+            F.when(word == ";", F.array(F.lit(0)))
+            .when(word == "(", F.array_append(levels, top % 2))
+            .when(closes & (F.size(levels) > 1), outer)
+            .when(word == "select", F.array_append(outer, F.lit(2)))
+            .when(opens, F.array_append(outer, top - top % 2 + 1))
+            .when(word.isin(*_OTHER_CLAUSES), F.array_append(outer, top - top % 2))
+            .otherwise(levels)
+        )
+        ends = opens | word.isin(";", *_OTHER_CLAUSES, *_PARTING_WORDS) | (closes & (top >= 2))
+        # Words without a letter or a comparison, as in long lists of numbers, say nothing here.
+        piece = F.when(word.rlike(r"[a-z_<>=+*/$\u0080-\uffff-]"), word).otherwise(F.lit(""))
+        grown = F.when((top % 2 == 1) & (piece != ""), F.concat(state["text"], F.lit(" "), piece)).otherwise(state["text"])
+        return F.struct(
+            moved.alias("levels"), F.when(ends, F.lit("")).otherwise(grown).alias("text"),
+            F.when(ends, kept(state)).otherwise(state["found"]).alias("found"),
+        )
+
+    both = plain.contains(available.lower()) & plain.contains(prediction.lower()) & ~plain.startswith(_AMBIGUOUS)
+    return F.when(both, F.array_join(F.aggregate(words, nothing, step, kept), " ; ")).otherwise(F.lit(""))
 
 
 def _guard_patterns(available: str, prediction: str) -> tuple[str, str]:
@@ -154,12 +210,17 @@ def guarded_aliases(predicates: Column, available: str) -> Column:
     return F.transform(predicates, lambda p: F.regexp_extract(p, qualifier, 1))
 
 
+def is_statement(plain: Column) -> Column:
+    """Whether a text begins as a statement does."""
+    return plain.rlike(r"^[(\s;]*(?:explain\s+(?:\w+\s+)?)?(?:" + "|".join(_STATEMENTS) + ")")
+
+
 def is_readable(plain: Column) -> Column:
     """Whether the text reads as a statement; unknown text must never count as clean."""
     opened = F.length(plain) - F.length(F.replace(plain, F.lit("("), F.lit("")))
     closed = F.length(plain) - F.length(F.replace(plain, F.lit(")"), F.lit("")))
     quotes = F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit("")))
-    starts = plain.rlike(r"^[(\s;]*(?:explain\s+(?:\w+\s+)?)?(?:" + "|".join(_STATEMENTS) + ")")
+    starts = is_statement(plain)
     dangling = plain.rlike(
         r"\b(?:from|join)\s*(?:;|\)|$|(?:where|group|order|having|on|limit|from|join)\b)"
     )
@@ -187,8 +248,10 @@ def guard_status(plain: Column, references: Column, guarded: Column, target: str
     mentioned = plain.rlike(rf"(?<!{_LETTER}){_escaped(last_part(target))}(?!{_LETTER}|\.)")
     # A table that a macro names may be any table.
     unresolved = F.exists(references, lambda r: r["name"].contains(_PLACEHOLDER))
+    ambiguous = plain.startswith(_AMBIGUOUS) & ~plain.contains("{{")
     return (
-        F.when(~F.coalesce(is_readable(plain), F.lit(False)), F.lit(INDETERMINATE))
+        F.when(ambiguous & ~mentioned, F.lit(NOT_APPLICABLE))
+        .when(~F.coalesce(is_readable(plain), F.lit(False)), F.lit(INDETERMINATE))
         .when((F.size(aliases) == 0) & (mentioned | unresolved), F.lit(INDETERMINATE))
         .when(F.size(aliases) == 0, F.lit(NOT_APPLICABLE))
         .when(F.size(F.array_except(aliases, guarded)) == 0, F.lit(SAFE))

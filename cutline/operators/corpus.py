@@ -36,7 +36,7 @@ def read_queries(
             "_references",
             F.coalesce(when_touched(guard.table_references(F.col("_plain"))), no_table),
         )
-        .withColumn("_clauses", when_touched(guard.clauses(F.col("_plain"))))
+        .withColumn("_clauses", when_touched(guard.clauses(F.col("_plain"), available, prediction)))
         .withColumn(
             "cutoff_predicates",
             F.coalesce(guard.cutoff_predicates(F.col("_clauses"), available, prediction), nothing),
@@ -46,6 +46,12 @@ def read_queries(
     )
 
 
+def tables_read() -> Column:
+    """Sorted names of the tables a statement reads; prose that is no statement reads none."""
+    named = guard.referenced_tables(F.col("_references"))
+    return F.when(guard.is_statement(F.col("_plain")), named).otherwise(F.array().cast("array<string>"))
+
+
 def verify_queries(
     corpus: DataFrame,
     post_outcome_table: str,
@@ -61,7 +67,7 @@ def verify_queries(
         *corpus.columns,
         "status",
         guard.guard_reason(F.col("status"), plain, available, prediction).alias("reason"),
-        guard.referenced_tables(F.col("_references")).alias("referenced_tables"),
+        tables_read().alias("referenced_tables"),
         "cutoff_predicates",
         F.coalesce(
             guard.weak_guard(plain, F.col("cutoff_predicates"), prediction), F.lit(False)
@@ -76,7 +82,10 @@ def scan_corpus(
     available: str = "available_at",
     prediction: str = "prediction_time",
 ) -> DataFrame:
-    """Worst status of every text over all nominated tables, and the first table violated."""
+    """Worst status of every text over all nominated tables, the table that decided it, and why.
+
+    Tables and predicates are read from texts that may name a nominated table; others report none.
+    """
     if not post_outcome_tables:
         raise ValueError("at least one post-outcome table is required")
     plain, references, guarded = F.col("_plain"), F.col("_references"), F.col("_guarded")
@@ -90,16 +99,17 @@ def scan_corpus(
             for name, table in zip(names, post_outcome_tables, strict=True)
         }
     )
-    violated = F.coalesce(
-        *[
-            F.when(F.col(name) == guard.VIOLATION, F.lit(table))
-            for name, table in zip(names, post_outcome_tables, strict=True)
-        ]
+    worst = guard.worst_status([F.col(n) for n in names])
+    decided = F.coalesce(
+        *[F.when(F.col(name) == worst, F.lit(table)) for name, table in zip(names, post_outcome_tables, strict=True)]
     )
-    return judged.select(
+    return judged.withColumn("status", worst).select(
         *corpus.columns,
-        guard.worst_status([F.col(n) for n in names]).alias("status"),
-        violated.alias("post_outcome_table"),
+        "status",
+        F.when(F.col("status") == guard.VIOLATION, decided).alias("post_outcome_table"),
+        guard.guard_reason(F.col("status"), plain, available, prediction).alias("reason"),
+        tables_read().alias("referenced_tables"),
+        "cutoff_predicates",
         F.coalesce(
             guard.weak_guard(plain, F.col("cutoff_predicates"), prediction), F.lit(False)
         ).alias("weak_guard"),

@@ -185,3 +185,32 @@ def test_exit_codes_of_folders(spark, tmp_path):
 def test_templated_models(spark, model, status):
     corpus = spark.createDataFrame([(model,)], "sql string")
     assert scan_corpus(corpus, [TARGET]).first()["status"] == status
+
+
+CUT = "p.available_at <= a.prediction_time"
+BASE = "select 1 from apps a join payments_after p on p.k = a.k"
+
+
+@pytest.mark.parametrize(
+    ("sql", "expected"),
+    [
+        (f"{BASE} and {'(' * 3000}{CUT}{')' * 3000}", "safe"),
+        (f"{BASE} and p.k in ({', '.join(map(str, range(60000)))}) and {CUT}", "safe"),
+        (f"select case when {CUT} then 1 end from apps a join payments_after p on p.k = a.k", "violation"),
+        (f"select distinct on (a.k) {CUT} as ok from apps a join payments_after p on p.k = a.k", "violation"),
+        (f"{BASE} group by 1 having {CUT}", "violation"),
+        (f"{BASE} where (select max(x) from b where b.available_at is not null) <= a.prediction_time", "violation"),
+        (f"select 1 from apps a, (select * from payments_after p join apps a on {CUT}) late", "safe"),
+        (f"select count(*) filter (where {CUT}) from apps a join payments_after p on p.k = a.k", "safe"),
+        (f"{BASE}; select 1 where {CUT}", "safe"),
+        ("select U&'p\\0061yments', p.v from apps a join payments_after p on p.k = a.k", "indeterminate"),
+        (f"select 1 from apps a join payments_after p on p.k = a.k # it's\n and {CUT}", "indeterminate"),
+        (f"select d #> '{{a}}' from apps a join payments_after p on {CUT}", "safe"),
+        ("select 'it\\'s' from apps", "not_applicable"),
+        ("select E'it\\'s -- payments_after' from apps", "not_applicable"),
+        (f"select E'\\\\' from apps a join payments_after p on {CUT} where a.x = ''", "safe"),
+    ],
+)
+def test_conditions_at_any_depth_and_literals(spark, sql, expected):
+    row = verify_queries(spark.createDataFrame([(sql,)], "sql string"), "raw.payments_after").first()
+    assert row["status"] == expected
