@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cutline.catalog.inputs import (
     ORDERS_SQL,
     USERS_SQL,
+    customer_decisions,
     order_decisions,
     order_records,
     user_decisions,
@@ -20,6 +21,8 @@ from cutline.operators.contract import (
     decisions_without_known_record,
     decisions_without_records,
 )
+from cutline.session import fresh_path
+from cutline.streaming.asof_stream import PROVIDER, asof_stream
 
 _LATEST = "arg_max(feature_value, available_at)"
 _KNOWN = "FILTER (WHERE available_at <= prediction_time)"
@@ -309,3 +312,40 @@ def cutoff_gap(spark, folder):
         is_late(available, cutoff).alias("late"),
         gap_label(available, cutoff).alias("gap_label"),
     )
+
+
+@register(
+    "asof_stream",
+    """WITH spans AS (
+  SELECT o_custkey AS k, (epoch_us(min(o_orderdate)) + epoch_us(max(o_orderdate))) // 2 AS mid FROM orders GROUP BY 1),
+passed AS (SELECT epoch_us(max(o_orderdate)) - 3600000000 AS mark FROM orders)
+SELECT k::VARCHAR AS entity_id, mid AS cutoff, max(o_totalprice) FILTER (WHERE o_orderdate = newest) AS point_in_time_value,
+  epoch_us(any_value(newest)) AS known_at
+FROM (SELECT k, mid, o_orderdate, o_totalprice, max(o_orderdate) OVER (PARTITION BY k) AS newest
+  FROM spans JOIN orders ON o_custkey = k, passed WHERE epoch_us(o_orderdate) <= mid AND mid + 1000 < mark)
+GROUP BY k, mid""",
+)
+def streamed(spark, folder):
+    """Customers' decisions and orders as two streams; decisions that the watermark passes are answered."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, "asof-stream")
+    decided = customer_decisions(spark, folder).select("entity_id", F.col("entity_id").alias("decision_id"), "prediction_time")
+    decided.write.parquet(f"{path}/decisions")
+    orders = table(spark, folder, "orders")
+    # A pattern, since a stream of one plain path must be a folder.
+    told = session.readStream.schema(orders.schema).parquet(f"{folder}/orders.[p]arquet").select(
+        F.col("o_custkey").alias("entity_id"), F.col("o_orderdate").alias("available_at"), F.col("o_totalprice").alias("feature_value")
+    )
+    asked = session.readStream.schema(decided.schema).parquet(f"{path}/decisions")
+    answers = asof_stream(asked, told, delay="1 hour", keep_days=36500)
+    query = (
+        answers.writeStream.format("parquet").option("path", f"{path}/answers").option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(answers.schema).parquet(f"{path}/answers").select(
+        "entity_id", F.unix_micros("prediction_time").alias("cutoff"), "point_in_time_value", F.unix_micros("known_at").alias("known_at")
+    )
