@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutline.catalog.inputs import RUNS_SQL, runs
 from cutline.catalog.registry import register, table
-from cutline.operators.evidence import bound_evidence, publish, publish_plan, raise_incidents
+from cutline.operators.evidence import bound_evidence, latest_versions, publish, publish_plan, raise_incidents
 from cutline.operators.integrity import (
     all_checks,
     compared,
@@ -88,6 +88,26 @@ def published(spark, folder):
     )
 
 
+@register(
+    "republished_evidence",
+    f"""WITH {_REFUSED}
+SELECT 'audit-' || replace(case_id, ' ', '-') AS document_id, target_urn, 'published' AS status, true AS audit_document_reread,
+  CASE WHEN o_custkey % 2 = 0 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS observed_auc, 1 + (o_custkey + 1) % 2 AS version
+FROM refused JOIN orders ON case_id = 'case ' || o_orderkey WHERE refusal IS NULL""",
+)
+def republished(spark, folder):
+    """A second publication with new numbers for some cases: those get a second version, and are re-read as such."""
+    store = fresh_path(spark, "evidence-versions")
+    first = bundles(spark, folder)
+    publish(first, store, approved=True)
+    changed = F.when(F.col("excluded_records") % 2 == 0, 0.8).otherwise(F.col("observed_auc"))
+    again = publish(first.withColumn("observed_auc", changed), store, approved=True)
+    documents = latest_versions(spark.read.parquet(f"{store}/documents"))
+    return again.where("refusal is null").select("document_id", "target_urn", "status", "audit_document_reread").join(
+        documents.select("document_id", "target_urn", "observed_auc", "version"), ["document_id", "target_urn"]
+    )
+
+
 @register(
     "incident_upsert",
     """SELECT 'urn:li:dataset:d_' || (o_custkey % 40) AS target_urn, 'Release blocked: ' || o_orderpriority AS title,
@@ -186,12 +206,12 @@ def integrity(spark, folder):
     "sidecar_differences",
     """SELECT 'docs/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS sha256,
   CASE doc_id % 10 WHEN 1 THEN sha256(text || '!') WHEN 2 THEN NULL ELSE sha256(text) END AS listed
-FROM documents WHERE doc_id % 10 < 3""",
+FROM documents WHERE doc_id % 10 < 3
+UNION ALL SELECT '../docs/' || doc_id || '.txt', sha256(text), NULL FROM documents WHERE doc_id % 10 = 0""",
 )
 def sidecar(spark, folder):
     manifest, files = _manifest(spark, folder)
-    kept = manifest.where(~F.col("path").startswith("../"))
-    return sidecar_differences(kept, files.withColumnRenamed("actual", "sha256"))
+    return sidecar_differences(manifest, files.withColumnRenamed("actual", "sha256"))
 
 
 @register(
@@ -231,13 +251,13 @@ def conjunction(spark, folder):
 @register(
     "missing_fields",
     """SELECT 'urn:' || c_custkey AS urn,
-  CASE WHEN c_custkey % 3 = 0 THEN 'days' WHEN c_custkey % 7 = 6 THEN 'id,days' ELSE '' END AS missing_fields,
-  CASE WHEN c_custkey % 7 = 6 AND c_custkey % 3 <> 0 OR c_custkey % 5 = 0 THEN 'leak' ELSE '' END AS missing_tags
-FROM customer WHERE c_custkey % 7 <> 6 OR c_custkey % 3 <> 0""",
+  CASE WHEN c_custkey % 7 = 6 THEN 'id,days' WHEN c_custkey % 3 = 0 THEN 'days' ELSE '' END AS missing_fields,
+  CASE WHEN c_custkey % 7 = 6 OR c_custkey % 5 = 0 THEN 'leak' ELSE '' END AS missing_tags
+FROM customer""",
 )
 def drifted(spark, folder):
     key = F.col("c_custkey")
-    customers = table(spark, folder, "customer").where((key % 7 != 6) | (key % 3 != 0))
+    customers = table(spark, folder, "customer")
     urn = F.concat(F.lit("urn:"), key.cast("string")).alias("urn")
     expected = customers.select(
         urn,

@@ -12,12 +12,14 @@ PLANNED_TYPES = ("field_tag", "structured_property", "audit_document", "active_i
 CONFIRMED_TAG = "leakage-confirmed"
 CANDIDATE_TAG = "leakage-candidate"
 
-# Key and stored columns of each evidence table.
+# Key and stored columns of each evidence table. Documents have versions: a row is never rewritten, and the
+# largest version of a key is the one that holds.
 TABLES = {
     "tags": ["target_urn", "field", "tag"],
     "properties": ["target_urn", "property", "value"],
     "documents": ["document_id", "target_urn", "title", "config_sha256", "observed_auc",
-                  "point_in_time_auc", "excluded_records", "safe_delta", "safe_retained"],
+                  "point_in_time_auc", "excluded_records", "safe_delta", "safe_retained",
+                  "content_sha256", "version"],
     "incidents": ["target_urn", "title", "incident_id", "state", "document_id"],
 }
 KEYS = {
@@ -93,7 +95,8 @@ def evidence_rows(bundles: DataFrame) -> dict[str, DataFrame]:
             document_id(case).alias("document_id"),
             target,
             F.concat(F.lit("Audit: "), case).alias("title"),
-            *TABLES["documents"][3:],
+            *TABLES["documents"][3:-2],
+            content_sha256().alias("content_sha256"),
         ),
         "incidents": bundles.select(
             target,
@@ -103,7 +106,19 @@ def evidence_rows(bundles: DataFrame) -> dict[str, DataFrame]:
             document_id(case).alias("document_id"),
         ),
     }
-    return {name: frame.dropDuplicates(KEYS[name]) for name, frame in rows.items()}
+    # Bundles that disagree on one document: the largest content holds, whatever the order of rows.
+    told = [c for c in rows["documents"].columns if c not in KEYS["documents"]]
+    first = ["content_sha256", *[c for c in told if c != "content_sha256"]]
+    rows["documents"] = (
+        rows["documents"].groupBy(*KEYS["documents"]).agg(F.max(F.struct(*first)).alias("_held"))
+        .select(*KEYS["documents"], *[F.col(f"_held.{c}") for c in told])
+    )
+    return {name: frame if name == "documents" else frame.dropDuplicates(KEYS[name]) for name, frame in rows.items()}
+
+
+def content_sha256() -> Column:
+    """Hash of what a bundle says, so that a re-read can tell these numbers from earlier ones."""
+    return F.sha2(F.to_json(F.struct("case_id", *TABLES["documents"][3:-2]), {"ignoreNullFields": "false"}), 256)
 
 
 def stored(spark: SparkSession, store: str, table: str, like: DataFrame) -> DataFrame:
@@ -130,6 +145,35 @@ def upsert(rows: DataFrame, store: str, table: str) -> DataFrame:
     return stored(spark, store, table, wanted)
 
 
+def append_versions(rows: DataFrame, store: str, table: str = "documents") -> DataFrame:
+    """Append the rows whose content differs from the latest version of their key; returns the latest versions.
+
+    What was stored stays, with its version number. One writer per store.
+    """
+    keys = KEYS[table]
+    wanted = settle(rows)
+    shape = wanted.withColumn("version", F.lit(1).cast("bigint")).select(*TABLES[table])
+    held = stored(rows.sparkSession, store, table, shape).join(wanted.select(*keys), keys, "left_semi")
+    latest = held.groupBy(*keys).agg(
+        F.max_by("content_sha256", "version").alias("_content"), F.max("version").alias("_version")
+    )
+    fresh = (
+        wanted.join(latest, keys, "left").where(~F.col("content_sha256").eqNullSafe(F.col("_content")))
+        .withColumn("version", F.coalesce("_version", F.lit(0)).cast("bigint") + 1)
+    )
+    fresh.select(*TABLES[table]).write.mode("append").parquet(f"{store}/{table}")
+    return latest_versions(stored(rows.sparkSession, store, table, shape).join(wanted.select(*keys), keys, "left_semi"), table)
+
+
+def latest_versions(rows: DataFrame, table: str = "documents") -> DataFrame:
+    """The version that holds, of every key."""
+    keys = KEYS[table]
+    rest = [c for c in TABLES[table] if c not in keys and c != "version"]
+    return rows.groupBy(*keys).agg(F.max(F.struct("version", *rest)).alias("_held")).select(
+        *keys, *[F.col(f"_held.{c}").alias(c) for c in [*rest, "version"]]
+    )
+
+
 def publish(bundles: DataFrame, store: str, approved: bool = False) -> DataFrame:
     """Publish confirmed bundles, then report what a re-read of the store says.
 
@@ -142,7 +186,9 @@ def publish(bundles: DataFrame, store: str, approved: bool = False) -> DataFrame
         bundles.withColumn("refusal", refusal(F.col("target_urn"), F.col("bound_urn")))
     )
     accepted = judged.where(F.col("refusal").isNull())
-    result = judged.select("case_id", "target_urn", "verdict", "release_decision", "refusal", "field")
+    result = judged.select(
+        "case_id", "target_urn", "verdict", "release_decision", "refusal", "field", content_sha256().alias("content_sha256")
+    )
     result = result.withColumn("document_id", document_id(F.col("case_id"))).withColumn(
         "title", incident_title(F.col("case_id"))
     )
@@ -153,14 +199,15 @@ def publish(bundles: DataFrame, store: str, approved: bool = False) -> DataFrame
         "incidents": "active_incident_reread",
     }
     for table, rows in evidence_rows(accepted).items():
-        reread = upsert(rows, store, table)
+        reread = append_versions(rows, store) if table == "documents" else upsert(rows, store, table)
         if table == "tags":
             reread, on = reread.where(F.col("tag") == CONFIRMED_TAG), ["target_urn", "field"]
         elif table == "properties":
             expected = (F.col("property") == VERDICT_PROPERTY) & (F.col("value") == "confirmed")
             reread, on = reread.where(expected), ["target_urn"]
         elif table == "documents":
-            on = ["document_id", "target_urn"]
+            # Another version of the document does not prove that this one was stored.
+            on = ["document_id", "target_urn", "content_sha256"]
         else:
             reread, on = reread.where(F.col("state") == "ACTIVE"), ["target_urn", "title"]
         # Only this publication's keys are looked for, however large the store has grown.

@@ -9,7 +9,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from cutline.operators.evidence import BUNDLES, publish, stored
+from cutline.operators.evidence import BUNDLES, latest_versions, publish, stored
 from cutline.operators.runs import latest_runs, order_groups, run_groups
 from cutline.plans.audit import write_report
 from cutline.plans.replay import drift, replay
@@ -217,3 +217,23 @@ def test_drift_against_a_live_catalog(spark, tmp_path):
     (tmp_path / "f" / "remediation.sql").write_text("x")
     tampered = drift(spark, root, "payments_late", live, lineage, TARGET)
     assert tampered["status"] == "fixture_integrity_failed"
+
+
+def test_new_numbers_are_a_new_version(spark, tmp_path):
+    store = str(tmp_path / "store")
+    def numbered(row, auc):
+        return (*row[:8], auc, *row[9:])
+
+    rows_ = [bundle(), bundle("other case")]
+    publish(spark.createDataFrame(rows_, BUNDLES), store, approved=True)
+    rows_[0] = numbered(rows_[0], 0.5)
+    again = {r["case_id"]: r for r in publish(spark.createDataFrame(rows_, BUNDLES), store, approved=True).collect()}
+    assert all(r["status"] == "published" and r["audit_document_reread"] for r in again.values())
+    held = spark.read.parquet(f"{store}/documents")
+    assert held.count() == 3
+    latest = {r["title"]: (r["observed_auc"], r["version"]) for r in latest_versions(held).collect()}
+    assert latest["Audit: case 1"] == (0.5, 2) and latest["Audit: other case"][1] == 1
+    # Two bundles that disagree on one document: one of them holds, and only that one reads as published.
+    both = [rows_[0], numbered(rows_[0], 0.25)]
+    statuses = sorted(r["status"] for r in publish(spark.createDataFrame(both, BUNDLES), store, approved=True).collect())
+    assert statuses == ["published", "verification_failed"]
