@@ -104,7 +104,7 @@ def _trace(spark, args):
 
 
 def _replay(spark, args):
-    report = replay(spark, args.fixture, args.post_outcome_table)
+    report = replay(spark, args.fixture, args.post_outcome_table, args.errors)
     return report, report["exit_code"]
 
 
@@ -148,7 +148,8 @@ def parser() -> argparse.ArgumentParser:
     )
     published.add_argument("--approve", action="store_true")
     command("trace", _trace, "find the directed path between two columns", "--edges", "--source", "--target")
-    command("replay", _replay, "replay a recorded fixture", "--fixture", "--post-outcome-table")
+    replayed = command("replay", _replay, "replay a recorded fixture", "--fixture", "--post-outcome-table")
+    replayed.add_argument("--errors", help="where the whole table of damaged files goes")
     command(
         "drift", _drift, "compare a fixture with a catalog export",
         "--fixture", "--post-outcome-table", "--assets", "--lineage", "--target-urn",

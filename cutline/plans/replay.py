@@ -27,12 +27,16 @@ _CASE = (
 _SIDE = "struct<observed_advantage: double, collapsed: boolean>"
 
 
-def replay(spark: SparkSession, root: str, post_outcome_table: str) -> dict:
-    """Nine checks of a fixture folder; any damaged file fails it before anything is judged."""
+def replay(spark: SparkSession, root: str, post_outcome_table: str, errors_to: str | None = None) -> dict:
+    """Nine checks of a fixture folder; any damaged file fails it before anything is judged.
+
+    The report names the first errors and counts all; ``errors_to`` receives every one as a table of JSON lines.
+    """
     root = root.rstrip("/")
     manifest = read_manifest(spark, root)
     damage = settle(integrity_errors(manifest, read_file_hashes(spark, root)))
-    # The report names the first errors; `integrity_errors` gives them all.
+    if errors_to is not None:
+        damage.write.mode("overwrite").json(errors_to)
     errors = [row["error"] for row in damage.orderBy("error").limit(REPORTED_ERRORS).collect()]
     error_count = damage.count()
     if not sidecar_differences(manifest, read_sidecar(spark, root)).isEmpty():

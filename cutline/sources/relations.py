@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutline.operators.contract import ContractError
 
 FORMATS = ("csv", "parquet", "table")
-# Files up to this size are hashed by content; larger ones by their listing.
-HASHED_FILE_BYTES = 256 * 1024 * 1024
+BY_CONTENT, BY_LISTING, NOT_HASHED = "content", "listing", "beyond one value"
+# One value of a row holds at most this many bytes, so longer files cannot be hashed by content.
+LONGEST_VALUE = (1 << 31) - 16
 
 
 @dataclass(frozen=True)
@@ -59,19 +60,26 @@ def read_text_csv(spark: SparkSession, path: str, names: Sequence[str]) -> DataF
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def fingerprint(spark: SparkSession, path: str, form: str) -> DataFrame:
-    """Per-file ``path, format, sha256, bytes``; big files hash path, size and change time."""
+def fingerprint(spark: SparkSession, path: str, form: str, by: str = BY_CONTENT) -> DataFrame:
+    """Per-file ``path, format, sha256, bytes, hashed``; ``hashed`` says what ``sha256`` is a hash of.
+
+    ``by`` holds for every file: its content, or its path, length and change time. By content, a file longer
+    than a value can be is reported with a NULL hash instead of another kind of hash.
+    """
+    if by not in (BY_CONTENT, BY_LISTING):
+        raise ContractError(f"files are hashed by {BY_CONTENT} or by {BY_LISTING}")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = (
-        listing.where(F.col("length") <= HASHED_FILE_BYTES)
-        .select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
-    )
-    described = F.concat_ws("|", "path", "length", F.col("modificationTime").cast("string"))
-    large = (
-        listing.where(F.col("length") > HASHED_FILE_BYTES)
-        .select("path", F.sha2(described, 256).alias("sha256"), F.col("length").alias("bytes"))
+
+    def hashed(files: DataFrame, sha256: Column, kind: str) -> DataFrame:
+        return files.select("path", sha256.alias("sha256"), F.col("length").alias("bytes"), F.lit(form).alias("format"), F.lit(kind).alias("hashed"))
+
+    if by == BY_LISTING:
+        described = F.concat_ws("|", "path", "length", F.col("modificationTime").cast("string"))
+        return hashed(listing, F.sha2(described, 256), BY_LISTING)
+    short = F.col("length") <= LONGEST_VALUE
+    return hashed(listing.where(short), F.sha2("content", 256), BY_CONTENT).unionByName(
+        hashed(listing.where(~short), F.lit(None).cast("string"), NOT_HASHED)
     )
-    return small.unionByName(large).withColumn("format", F.lit(form))
 
 
 def input_summary(spark: SparkSession, relation: Relation) -> dict[str, Any]:
@@ -82,7 +90,7 @@ def input_summary(spark: SparkSession, relation: Relation) -> dict[str, Any]:
     row = files.agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("bytes").alias("bytes"),
-        F.lower(F.hex(F.bit_xor(F.xxhash64(F.substring_index("path", "/", -1), "sha256")))).alias("digest"),
+        F.lower(F.hex(F.bit_xor(F.xxhash64(F.substring_index("path", "/", -1), F.coalesce("sha256", F.lit("")))))).alias("digest"),
         F.max("sha256").alias("sha256"),
     ).first()
     summary = {"path": os.path.basename(relation.path.rstrip("/")), "format": relation.format}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -13,6 +14,7 @@ from cutline.operators.contract import Binding, ContractError, rejected_rows
 from cutline.plans.scenario import Identity, load_scenario
 from cutline.plans.sweep import sweep
 from cutline.plans.validate import check_decisions, rebuild, validate
+from cutline.sources import relations
 from cutline.sources.relations import Relation, fingerprint, read_relation
 
 MAPPING = {
@@ -199,8 +201,6 @@ def test_a_sweep_needs_wide_snapshots(spark, tmp_path):
 
 
 def test_csv_keys_keep_leading_zeros_and_fingerprints_are_exact(spark, tmp_path):
-    import hashlib
-
     write(tmp_path, *loans())
     path = str(tmp_path / "loans.csv")
     frame = read_relation(spark, Relation(path, "csv"))
@@ -256,3 +256,19 @@ def test_bindings_and_identities_are_explicit():
         Binding.from_mapping(MAPPING, wide=True)
     identity = Identity.from_config(IDENTITY)
     assert (identity.leakage_feature_name, identity.safe_feature_name) == ("days", "misses")
+
+
+def test_a_hash_means_the_same_at_every_size(spark, tmp_path, monkeypatch):
+    for name, size in (("a.bin", 10), ("b.bin", 5000)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    def found(**how):
+        return {r["path"].rsplit("/", 1)[-1]: (r["sha256"], r["hashed"], r["bytes"]) for r in fingerprint(spark, str(tmp_path), "table", **how).collect()}
+
+    whole = {n: (hashlib.sha256(b"x" * k).hexdigest(), "content", k) for n, k in (("a.bin", 10), ("b.bin", 5000))}
+    assert found() == whole
+    listed = found(by="listing")
+    assert {v[1] for v in listed.values()} == {"listing"} and not {v[0] for v in listed.values()} & {v[0] for v in whole.values()}
+    monkeypatch.setattr(relations, "LONGEST_VALUE", 1000)
+    assert found() == {"a.bin": whole["a.bin"], "b.bin": (None, "beyond one value", 5000)}
+    with pytest.raises(ContractError, match="hashed by"):
+        fingerprint(spark, str(tmp_path), "table", by="size")
