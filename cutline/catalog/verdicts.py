@@ -199,27 +199,17 @@ derived AS (
   SELECT *, directional AND violation AS flow, threshold <= 1 AS measured,
     performed AND threshold <= 1 AND retained <= threshold AS collapsed FROM facts)
 SELECT l_orderkey, l_linenumber, l_extendedprice, concat_ws('; ',
-  CASE WHEN verdict = 'guilty' THEN
-    'verdict must be one of: clear_for_release, confirmed, high_confidence, insufficient_metadata, needs_review' END,
-  CASE WHEN no_model THEN 'model_urn must be a non-empty string' END,
-  CASE WHEN no_time AND verdict IN ('high_confidence', 'confirmed', 'clear_for_release')
-    THEN verdict || ' requires prediction_time' END,
-  CASE WHEN verdict IN ('high_confidence', 'confirmed') AND NOT flow
-    THEN verdict || ' requires directional lineage and an availability violation' END,
-  CASE WHEN deterministic AND NOT flow
-    THEN 'deterministic proof requires directional lineage and an availability violation' END,
-  CASE WHEN performed AND NOT measured
-    THEN 'retained advantage and collapse threshold must be numbers from 0 to 1' END,
-  CASE WHEN verdict = 'confirmed' AND NOT deterministic AND collapsed AND NOT control
-    THEN 'a collapse cannot confirm unless the control was tested and remained safe' END,
-  CASE WHEN verdict = 'confirmed' AND NOT deterministic AND NOT collapsed
-    THEN 'confirmed requires deterministic proof or a qualified collapse' END,
-  CASE WHEN collapsed AND NOT flow
-    THEN 'a collapse needs directional lineage and an availability violation' END,
-  CASE WHEN verdict = 'clear_for_release' AND violation
-    THEN 'clear_for_release cannot contain an availability violation' END,
-  CASE WHEN verdict = 'clear_for_release' AND NOT control
-    THEN 'clear_for_release requires a control that remained safe' END) AS errors
+  CASE WHEN verdict = 'guilty' THEN 'unknown_verdict: guilty' END,
+  CASE WHEN no_model THEN 'unnamed: model' END,
+  CASE WHEN no_time AND verdict IN ('high_confidence', 'confirmed', 'clear_for_release') THEN 'undated: decision' END,
+  CASE WHEN NOT flow AND verdict IN ('high_confidence', 'confirmed') THEN 'ungrounded: verdict' END,
+  CASE WHEN NOT flow AND deterministic THEN 'ungrounded: proof' END,
+  CASE WHEN NOT flow AND collapsed THEN 'ungrounded: collapse' END,
+  CASE WHEN performed AND NOT measured THEN 'unmeasured: rebuild' END,
+  CASE WHEN verdict = 'confirmed' AND NOT deterministic AND NOT collapsed THEN 'unconfirmed: proof_or_collapse'
+    WHEN verdict = 'confirmed' AND NOT deterministic AND NOT control THEN 'unconfirmed: control' END,
+  CASE WHEN verdict = 'clear_for_release' AND violation THEN 'not_clear: late_records' END,
+  CASE WHEN verdict = 'clear_for_release' AND NOT control THEN 'not_clear: control' END) AS errors
 FROM derived""",
 )
 def rules(spark, folder):
