@@ -1,23 +1,27 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are lower-cased and reduced to words with one space between them. An item
-is looked for in windows of ``WINDOW`` bytes, half a window apart (a shorter item is one window). A
+is looked for in windows of ``WINDOW`` bytes, one from every ``STEP`` bytes of it (a shorter item is one
+window), so a copied excerpt of ``WINDOW + STEP`` bytes holds a whole window wherever it was cut. A
 copy of a window with at most k edits shares at least ``w - q + 1 - k q`` q-grams with it, all within
-k diagonals, so shared q-grams are counted in overlapping bands of diagonals and a band that reaches
-the bound is verified by banded alignment. k is ``BUDGET`` of the window.
+k diagonals, so shared q-grams are counted in overlapping bands of diagonals and a window that reaches
+the bound is verified by banded alignment. k is ``BUDGET`` of the window. An item below ``LEAST`` bytes
+has no bound that tells a copy from chance; it matches as a whole word sequence only.
 
 The benchmark is a stated query set: its index is built in blocks of at most ``BLOCK_BYTES`` of item
-text, and all texts meet one block after another. No text is cut: one long text is one pass.
+text, and all texts meet one block after another. No text is cut: one long text is one pass, and its
+shared q-grams are met ``PAIRS`` at a time, in stretches that overlap by more than a window.
 
 Defined results: null or empty texts and items match nothing; items with equal text are each
-reported; items shorter than the q-gram only match as a whole word sequence and are skipped below
-``LEAST`` bytes. Repeated rows are each reported; rows with a null id are kept with it.
+reported; a repeated row is reported and judged by its own text, also where its id is null. Other
+columns pass through ``decontaminate``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,10 +30,13 @@ from pyspark.sql import functions as F
 from cutline.llm import kernels
 
 Q = 10
-WINDOW = 100
+WINDOW = 72
+STEP = 8
 BUDGET = 0.08
-#: Items below this many bytes are too short to tell a copy from chance.
+#: Items below this many bytes match as a whole word sequence.
 LEAST = 40
+#: Shared q-grams of one text that are held at once (more where one place alone has more).
+PAIRS = 1 << 20
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 22
 _SCALE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,18 +61,32 @@ class Index:
     """The q-grams of a block of items, with the windows to be looked for."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.texts, codes, owners, places = [], [], [], [], []
+        self.ids, self.texts, self.starts, self.least, codes, owners, places = [], [], [], [], [], [], []
+        short: dict[bytes, list[int]] = {}
         for item, text in items:
             raw = plain(text)
-            if len(raw) < LEAST:
+            if not raw:
                 continue
-            code = grams(np.frombuffer(raw, np.uint8))
-            codes.append(code)
-            owners.append(np.full(len(code), len(self.ids)))
-            places.append(np.arange(len(code)))
+            if len(raw) < LEAST:
+                short.setdefault(b" " + raw + b" ", []).append(len(self.ids))
+            else:
+                code = grams(np.frombuffer(raw, np.uint8))
+                codes.append(code)
+                owners.append(np.full(len(code), len(self.ids)))
+                places.append(np.arange(len(code)))
+            size = min(len(raw), WINDOW)
             self.ids.append(item)
             self.texts.append(raw)
-        if not self.ids:
+            self.starts.append(np.unique(np.append(np.arange(0, len(raw) - size, STEP), len(raw) - size)))
+            self.least.append(max(1, size - Q + 1 - int(BUDGET * size) * Q))
+        self.least = np.array(self.least, np.int64)
+        self.words = ahocorasick.Automaton()
+        for raw, own in short.items():
+            self.words.add_word(raw.decode("latin-1"), (len(raw), own))
+        if short:
+            self.words.make_automaton()
+        self.codes = np.zeros(0, np.uint64)
+        if not codes:
             return
         code, owner, place = map(np.concatenate, (codes, owners, places))
         order = np.argsort(code, kind="stable")
@@ -74,58 +95,86 @@ class Index:
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self.codes >> np.uint64(64 - _TABLE_BITS)] = True
 
-    def windows(self, item: int) -> list[tuple[int, int]]:
-        n = len(self.texts[item])
-        if n <= WINDOW:
-            return [(0, n)]
-        starts = [*range(0, n - WINDOW, WINDOW // 2), n - WINDOW]
-        return [(s, s + WINDOW) for s in starts]
+    def _whole(self, raw: bytes) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """Short items that stand in ``raw`` as whole words; their first place."""
+        hits: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if len(self.words):
+            for end, (size, own) in self.words.iter(f" {raw.decode('latin-1')} "):
+                for item in own:
+                    hits.setdefault((item, 0), (end + 1 - size, end - 1, 0))
+        return hits
+
+    def _stretches(self, at: np.ndarray, times: np.ndarray) -> Iterator[slice]:
+        """Slices of the shared places with about ``PAIRS`` pairs; each window's copy lies whole in one."""
+        overlap = WINDOW + 2 * int(BUDGET * WINDOW) + Q
+        total = np.cumsum(times)
+        start = 0
+        while start < len(at):
+            before = total[start - 1] if start else 0
+            end = max(int(np.searchsorted(total, before + PAIRS, "right")), start + 1)
+            # Never shorter than two overlaps, so that each slice goes on past the one before.
+            end = max(end, int(np.searchsorted(at, at[start] + 2 * overlap, "right")))
+            yield slice(start, end)
+            if end >= len(at):
+                return
+            start = int(np.searchsorted(at, at[end] - overlap))
 
     def search(self, raw: bytes) -> list[tuple[int, int, int, int, int]]:
         """(item number, start, end, edits, windows found) of each item in one text."""
-        if not self.ids or len(raw) < LEAST:
-            return []
+        hits = self._whole(raw)
         code = grams(np.frombuffer(raw, np.uint8))
-        at = np.flatnonzero(self.table[code >> np.uint64(64 - _TABLE_BITS)])
-        spot = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
-        true = self.codes[spot] == code[at]
-        at, spot = at[true], spot[true]
-        if len(at) < int(LEAST - Q + 1 - int(BUDGET * LEAST) * Q):
-            return []
+        if len(self.codes) and len(code):
+            at = np.flatnonzero(self.table[code >> np.uint64(64 - _TABLE_BITS)])
+            spot = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
+            true = self.codes[spot] == code[at]
+            at, spot = at[true], spot[true]
+            for part in self._stretches(at, self.count[spot]):
+                self._meet(raw, at[part], spot[part], hits)
+        best: dict[int, list] = {}
+        for (item, _), (start, end, edits) in hits.items():
+            x = best.setdefault(item, [start, end, edits, 0])
+            x[:] = [min(x[0], start), max(x[1], end), max(x[2], edits), x[3] + 1]
+        return [(item, *x) for item, x in sorted(best.items())]
+
+    def _meet(self, raw: bytes, at: np.ndarray, spot: np.ndarray, hits: dict) -> None:
+        """Add the windows found among the q-grams shared at places ``at`` to ``hits``."""
         times = self.count[spot]
         pos = np.repeat(at, times)
         row = np.repeat(self.first[spot] - np.cumsum(times) + times, times) + np.arange(len(pos))
         owner, place = self.owner[row], self.place[row]
-        diagonal = pos - place + len(max(self.texts, key=len))
+        # Bands are numbered from 0 for each item: no diagonal is below minus the longest item.
+        diagonal = pos - place + int(self.place.max()) + 1
         width = 2 * int(BUDGET * WINDOW) + 2
-        hits: dict[tuple[int, int], tuple[int, int, int]] = {}
         for shift in (0, width // 2):
             band = owner * (1 << 40) + (diagonal + shift) // width
             order = np.argsort(band, kind="stable")
             cuts = np.flatnonzero(np.diff(band[order], prepend=-1))
             sizes = np.diff(np.append(cuts, len(order)))
-            for a, n in zip(cuts[sizes >= 5], sizes[sizes >= 5]):
+            enough = sizes >= self.least[owner[order[cuts]]]
+            for a, n in zip(cuts[enough], sizes[enough]):
                 members = order[a : a + n]
                 item = int(owner[members[0]])
-                seen = np.sort(place[members])
-                for s, e in self.windows(item):
-                    if (item, s) in hits:
-                        continue
-                    edits = int(BUDGET * (e - s))
-                    bound = max(1, e - s - Q + 1 - edits * Q)
-                    inside = members[(place[members] >= s) & (place[members] <= e - Q)]
-                    if len(inside) < bound or len(np.unique(place[inside])) < bound or not len(seen):
-                        continue
-                    low = int((pos[inside] - place[inside]).min()) + s
-                    high = int((pos[inside] - place[inside]).max()) + e
-                    found = align(self.texts[item][s:e], raw, low, high, edits)
-                    if found:
-                        hits[item, s] = found
-        best: dict[int, list] = {}
-        for (item, _), (start, end, edits) in hits.items():
-            x = best.setdefault(item, [start, end, edits, 0])
-            x[:] = [min(x[0], start), max(x[1], end), max(x[2], edits), x[3] + 1]
-        return [(item, *x) for item, x in sorted(best.items())]
+                self._verify(raw, item, pos[members], place[members], hits)
+
+    def _verify(self, raw: bytes, item: int, pos: np.ndarray, place: np.ndarray, hits: dict) -> None:
+        text, starts = self.texts[item], self.starts[item]
+        size = min(len(text), WINDOW)
+        by = np.argsort(place, kind="stable")
+        pos, place = pos[by], place[by]
+        seen = np.unique(place)
+        met = np.searchsorted(seen, starts + size - Q, "right") - np.searchsorted(seen, starts)
+        edits = int(BUDGET * size)
+        for s in starts[met >= self.least[item]].tolist():
+            if (item, s) in hits:
+                continue
+            inside = slice(np.searchsorted(place, s), np.searchsorted(place, s + size - Q, "right"))
+            # One band holds copies at far-apart places of a repetitive text: each is aligned on its own.
+            where = np.unique(pos[inside] - (place[inside] - s))
+            for group in np.split(where, np.flatnonzero(np.diff(where) > size) + 1):
+                found = align(text[s : s + size], raw, int(group[0]), int(group[-1]) + size, edits)
+                if found:
+                    hits[item, s] = found
+                    break
 
 
 def align(window: bytes, raw: bytes, low: int, high: int, edits: int):
@@ -155,9 +204,16 @@ def align(window: bytes, raw: bytes, low: int, high: int, edits: int):
     return (low + int(start[end]), low + end, int(cost[end])) if cost[end] <= edits else None
 
 
+def _own(index) -> Index:
+    """The index of a broadcast: its parts travel as plain values, the class with the function."""
+    own = Index.__new__(Index)
+    own.__dict__.update(index.value)
+    return own
+
+
 def _searching(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index.value
+        own = _own(index)
         for batch in batches:
             rows, out = [], []
             for at, text in enumerate(batch.column(1)):
@@ -173,30 +229,39 @@ def _searching(index):
     return run
 
 
-SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint, windows bigint"
+def _clean(index, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _own(index)
+        for batch in batches:
+            yield batch.filter(pa.array([not own.search(plain(t.as_py())) for t in batch.column(text)], pa.bool_()))
 
+    return run
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and benchmark item found in it, with its place in the plain text.
 
-    ``start`` and ``end`` are bytes of the lower-cased text with single spaces between words;
-    ``edits`` is the most of any window found and ``windows`` how many were.
-    """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
-    found, block, size = [], [], 0
+SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, edits bigint, windows bigint"
 
-    def meet():
-        index = spark.sparkContext.broadcast(Index(block))
-        found.append(docs.select("doc_id", "text").mapInArrow(_searching(index), SCHEMA))
 
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes of the benchmark, a block of at most ``BLOCK_BYTES`` each; one at least."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null")
+    block, size = [], 0
     for item, text in items.orderBy("item_id", "text").toLocalIterator():
         if block and size + len(text) > BLOCK_BYTES:
-            meet()
+            yield docs.sparkSession.sparkContext.broadcast(vars(Index(block)))
             block, size = [], 0
         block.append((item, text))
         size += len(text)
-    meet()
+    yield docs.sparkSession.sparkContext.broadcast(vars(Index(block)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` and benchmark item found in it, with its place in the plain text.
+
+    ``start`` and ``end`` are bytes of the lower-cased text with single spaces between words;
+    ``edits`` is the most of any window found and ``windows`` how many were.
+    """
+    texts = docs.select("doc_id", "text")
+    found = [texts.mapInArrow(_searching(index), SCHEMA) for index in _indexes(docs, benchmark)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -204,6 +269,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a passage of the benchmark."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """``docs`` without the rows whose text holds a passage of the benchmark."""
+    for index in _indexes(docs, benchmark):
+        docs = docs.mapInArrow(_clean(index, docs.columns.index("text")), docs.schema)
+    return docs

@@ -186,6 +186,39 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [80, 95, 110, 135])
+def test_decontamination_finds_excerpts(size):
+    """Verbatim excerpts from any place, and none in texts of the same words in another order."""
+    items = [(i, " ".join(words(60, 70 + i, 5000))) for i in range(6)]
+    index = decontaminate.Index(items)
+    for i, text in items:
+        for at in range(0, len(text) - size, 7):
+            raw = decontaminate.plain("vorher hier " + text[at : at + size] + " nachher dort")
+            assert [index.ids[f[0]] for f in index.search(raw)] == [i], (i, at)
+        mixed = " ".join(np.random.default_rng(i).permutation(text.split()))
+        assert index.search(decontaminate.plain(mixed)) == []
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = " ".join(words(30, 8, 5000))
+    rows = [(None, item), (None, "sauber"), (1, item), (1, "sauber"), (2, "Ein  kurzer Satz!"), (3, "kein kurzer Satzbau"), (4, "ab " * 9000)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(1, item), (2, "kurzer satz"), (3, "ab " * 200 + "ende")], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {(None, "sauber"), (1, "sauber"), (3, "kein kurzer Satzbau")}
+
+
+def test_decontamination_in_small_stretches(monkeypatch):
+    """The windows found do not depend on how many shared q-grams are held at once."""
+    items = [(1, " ".join(words(40, 5, 30))), (2, "ab " * 60 + "cd " * 30), (3, "kurz")]
+    raw = decontaminate.plain(" ".join([" ".join(words(500, 6, 30)), items[0][1], "ab " * 90, "kurz", items[1][1]]))
+    whole = decontaminate.Index(items).search(raw)
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)
+    assert [(f[0], f[4]) for f in decontaminate.Index(items).search(raw)] == [(f[0], f[4]) for f in whole]
+    assert {f[0] for f in whole} == {0, 1, 2}
+
+
 def test_alignment_is_exact():
     rng = np.random.default_rng(4)
     for _ in range(60):
