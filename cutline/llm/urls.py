@@ -6,8 +6,10 @@ consequent is a verdict, pruned by support and confidence and free of a more gen
 sure, form an inverted index from token to rule; the urls no listed rule fits are matched through it,
 and the surest matching rule decides. A url that nothing matches is allowed.
 
-Tokens: the last one and two labels of the host, its first label, every path segment (digits folded to
-``#``), the file ending and the names of parameters.
+Tokens: the last one and two labels of the host, its first label; the first and the last path segment and
+the whole path (digits folded to ``#``), the file ending, and the names of the parameters as one sorted set.
+A url so has eight tokens at most, whatever its depth and parameters, and the item sets mined grow with the
+urls and not with the power of what they share.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no listed rule;
 repeated rows are each judged; other columns are not read.
@@ -56,16 +58,17 @@ def tokens():
     last = F.element_at(labels, -1)
     pair = F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)))
     segments = F.filter(F.split(F.regexp_replace("path", r"\d+", "#"), "/"), lambda s: s != "")
-    names = F.regexp_extract_all(F.coalesce("url", F.lit("")), F.lit(r"[?&]([^=&#]+)="), 1)
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("url", F.lit("")), F.lit(r"[?&]([^=&#]+)="), 1)))
     tag = lambda kind, col: F.concat(F.lit(kind + ":"), col)
-    return F.array_distinct(
-        F.concat(
-            F.array(tag("top", last), tag("site", pair), tag("first", F.element_at(labels, 1))),
-            F.transform(segments, lambda s: tag("seg", s)),
-            F.transform(names, lambda s: tag("arg", s)),
-            F.transform(F.regexp_extract_all("path", F.lit(r"\.([A-Za-z0-9]+)$"), 1), lambda s: tag("ext", s)),
-        )
+    found = F.array(
+        tag("top", last), tag("site", pair), tag("first", F.element_at(labels, 1)),
+        F.when(F.size(segments) > 0, tag("dir", F.get(segments, F.lit(0)))),
+        F.when(F.size(segments) > 1, tag("leaf", F.get(segments, F.size(segments) - 1))),
+        F.when(F.size(segments) > 1, tag("path", F.array_join(segments, "/"))),
+        F.when(F.col("path").rlike(r"\.[A-Za-z0-9]+$"), tag("ext", F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))),
+        F.when(F.size(names) > 0, tag("args", F.array_join(names, "&"))),
     )
+    return F.array_distinct(F.array_compact(found))
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
