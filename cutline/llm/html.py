@@ -6,7 +6,10 @@ text length over sliding windows of lines surge where text begins and dive to no
 Menus, headers, footers and lines of links count as empty there; other noise is left out, so an advert
 does not end a text. The stretch between a surge and its dive that holds most text is the article, and
 all its lines are kept; so are all others, noise apart, of the innermost ``article``, or else ``main``,
-that holds most of the stretch. Gaps shorter than a window do not end it.
+that holds most of the stretch, and without these of the element that holds most of it directly (sections
+and list items count to what holds them). Gaps shorter than a window do not end it. A line of links inside
+an ``article`` is text, unless it is an item of a list. An anchor without a target is no link, and one that is
+never closed ends with its block.
 
 A class or id is noise by its words, but not as a state (``has-sidebar``) and not around a ``main`` or
 the ``h1`` of an ``article``. A page that has no text but in elements named so is read without their names.
@@ -56,6 +59,10 @@ _NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 _ROLE = re.compile(r"\brole\s*=\s*[\"']?([a-z]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_TARGET = re.compile(r"(?:^|\s)href\s*=", re.I)
+_ANCHOR = re.compile(r"<(/?)a[\s/>]", re.I)
+#: Elements that hold blocks of text. Sections and items inside them are parts of the same text.
+_HOLDERS = {"body", "div", "td", "th", "center", "article", "main"}
 
 
 def _noise(tag: str, attributes: str, inside: list, named: bool) -> int:
@@ -81,7 +88,7 @@ def _noise(tag: str, attributes: str, inside: list, named: bool) -> int:
 
 
 def lines(page: str, named: bool = True) -> list[tuple[str, bool, bool, int]]:
-    """(text, is noise, may stand amid a text, number of the article or main around it or 0) of every block in page order."""
+    """(text, is noise, may stand amid a text, number of what holds it or 0) of every block in page order."""
     out: list[tuple[str, bool, bool, int]] = []
     stack: list[tuple[str, int, int]] = []
     buffer: list[str] = []
@@ -90,13 +97,18 @@ def lines(page: str, named: bool = True) -> list[tuple[str, bool, bool, int]]:
     place, size = 0, len(page)
 
     def flush():
-        nonlocal linked
+        nonlocal linked, links
         text = " ".join(entities.unescape("".join(buffer)).split())
         if text or parted:
-            holders = [n for t, _, n in stack if t == "article"] or [n for t, _, n in stack if t == "main"]
-            out.append((text, noisy > 0 or linked > LINKED * len(text), noisy > 0 and not parted, holders[-1] if holders else 0))
+            inside = [n for t, _, n in stack if t == "article"]
+            holders = inside or [n for t, _, n in stack if t == "main"] or [n for t, _, n in stack if t in _HOLDERS]
+            listed = not inside or any(t == "li" and n > inside[-1] for t, _, n in stack)
+            noise = noisy > 0 or listed and linked > LINKED * len(text)
+            out.append((text, noise, noisy > 0 and not parted, holders[-1] if holders else 0))
         buffer.clear()
         linked = 0
+        if links == 2:
+            links = 0
 
     def drop(depth: int):
         nonlocal noisy, parted
@@ -136,7 +148,11 @@ def lines(page: str, named: bool = True) -> list[tuple[str, bool, bool, int]]:
             buffer.append(" " if tag == "br" else "")
             continue
         if tag == "a":
-            links = 0 if close else 1
+            links = 0
+            if not close and _TARGET.search(attributes):
+                # 1 up to its end, 2 up to the end of the block where another anchor or nothing follows.
+                after = _ANCHOR.search(page, place)
+                links = 1 if after and after[1] else 2
         if tag in _BLOCK:
             flush()
         if tag in _VOID or tag == "a":
@@ -184,7 +200,7 @@ def _article(rows: list[tuple[str, bool, bool, int]]) -> str:
     for _, size, holder in rows[slice(*best)]:
         held[holder] = held.get(holder, 0) + size
     most = max(held, key=held.get, default=0)
-    return "\n\n".join(rows[k][0] for k in range(n) if length[k] and (best[0] <= k < best[1] or most and rows[k][2] == most))
+    return "\n\n".join(rows[k][0] for k in range(n) if length[k] and (best[0] <= k < best[1] or rows[k][2] == most))
 
 
 def main_text(page: str | None) -> str:

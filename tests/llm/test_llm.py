@@ -192,7 +192,7 @@ def test_decontamination_finds_excerpts(size):
     items = [(i, " ".join(words(60, 70 + i, 5000))) for i in range(6)]
     index = decontaminate.Index(items)
     for i, text in items:
-        for at in range(0, len(text) - size, 7):
+        for at in range(0, len(text) - size, 13):
             raw = decontaminate.plain("vorher hier " + text[at : at + size] + " nachher dort")
             assert [index.ids[f[0]] for f in index.search(raw)] == [i], (i, at)
         mixed = " ".join(np.random.default_rng(i).permutation(text.split()))
@@ -312,6 +312,32 @@ def test_main_text_keeps_link_lists_parted_text():
     assert html.main_text(f"<article><p>{'a' * 90}</p>{links}<nav><p>x</p><p>y</p></nav><p>{'b' * 70}</p></article>") == "a" * 90 + "\n\n" + "b" * 70
 
 
+def test_main_text_keeps_paragraphs_that_are_links():
+    link = "Read the full report of the committee"
+    assert html.main_text(f"<article><p>{'a' * 90}</p><p><a href=r>{link}</a></p></article>") == "a" * 90 + "\n\n" + link
+    assert html.main_text(f"<div><p>{'a' * 90}</p><p><a href=r>{link}</a></p></div>") == "a" * 90
+
+
+@pytest.mark.parametrize("anchor", ["<a name=top>", "<a id='x'>Mark", "<a href=y>Cut"])
+def test_main_text_after_unclosed_anchors(anchor):
+    page = f"<body><p>{anchor}</p><p>{'a' * 90}</p><p>{'b' * 90} <a href=z>c</a></p></body>"
+    assert html.main_text(page).endswith("a" * 90 + "\n\n" + "b" * 90 + " c")
+
+
+@pytest.mark.parametrize("holder", ["body", "div", "td"])
+@pytest.mark.parametrize("row", ["<nav><p>x</p><p>y</p></nav>", "<p><a href=1>More of this</a></p>"])
+def test_main_text_goes_on_after_rows_of_noise(holder, row):
+    page = f"<{holder}><p>{'a' * 300}</p>{row * 4}<section><p>{'b' * 200}</p></section></{holder}><div><p>c</p></div>"
+    assert html.main_text(page).startswith("a" * 300 + "\n\n" + "b" * 200)
+
+
+def test_main_text_of_long_and_deep_pages():
+    deep = "<div>" * 3000 + "<p>deep text</p>" + "</div>" * 3000
+    assert html.main_text(deep) == "deep text"
+    long = "<article>" + "".join(f"<p>paragraph {i} <b>and more</b></p>" for i in range(20_000)) + "</article>"
+    assert html.main_text(long).count("\n\n") == 19_999
+
+
 @pytest.mark.parametrize("name", ["has-sidebar", "social-history", "layout no-widget"])
 def test_main_text_inside_a_wrapper_named_like_noise(name):
     assert html.main_text(f"<body><div class='{name}'><p>First part</p><p>Second part</p></div></body>") == "First part\n\nSecond part"
@@ -352,6 +378,40 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def _rules_by_counting(rows, support, confidence):
+    """Every token set of the labelled rows that says its label, without those a part of them already says."""
+    sets, both = Counter(), Counter()
+    for items, label in rows:
+        for mask in range(1, 1 << len(items)):
+            part = frozenset(x for i, x in enumerate(items) if mask >> i & 1)
+            sets[part] += 1
+            both[part, label] += 1
+    rules = {k: n / sets[k[0]] for k, n in both.items() if n >= support * len(rows) and n >= confidence * sets[k[0]]}
+    return {k: c for k, c in rules.items() if not any(p < k[0] and v == k[1] and d >= c for (p, v), d in rules.items())}
+
+
+def test_mined_rules_against_counting(spark):
+    rng = np.random.default_rng(12)
+    rows = [([f"t{i}" for i in range(6) if rng.random() < 0.6], str(rng.choice(["block", "allow"], p=[0.8, 0.2]))) for _ in range(80)]
+    rows = [(i, v) for i, v in rows if i]
+    got = urls.mine(spark.createDataFrame(rows, "items array<string>, label string"), 0.1, 0.8).collect()
+    true = _rules_by_counting(rows, 0.1, 0.8)
+    assert {(frozenset(r["items"]), r["label"]) for r in got} == set(true)
+    assert all(abs(r["confidence"] - true[frozenset(r["items"]), r["label"]]) < 1e-9 for r in got)
+
+
+def test_urls_with_many_shared_names(spark):
+    """Parameters and path parts that many urls share do not multiply the item sets."""
+    names = "&".join(f"p{k}=1" for k in range(60))
+    deep = "/".join(f"s{k}" for k in range(40))
+    rows = [(i, f"https://a.example.com/en/{deep}/{i}?{names}") for i in range(400)] + [(1000 + i, f"http://b.org/{deep}/{i}?{names}") for i in range(30)]
+    got = urls.judge(spark.createDataFrame(rows + rows[:5], "page_id long, url string")).collect()
+    assert len(got) == 435 and {r["verdict"] for r in got} == {"block"}
+    assert {r["decided_by"] for r in got if r["page_id"] >= 1000} == {"mined"}
+    sizes = spark.createDataFrame(rows, "page_id long, url string").select("url", *[c.alias(n) for c, n in zip(urls.host_and_path(F.col("url")), ("host", "path"))])
+    assert sizes.select(F.max(F.size(urls.tokens()))).first()[0] <= 8
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there\nsecond line"), (1, 1, "a", "> hello  THERE\n> second line\nMy answer"),
