@@ -6,7 +6,11 @@ chunks; two vectors are candidates when a chunk differs in at most one bit and t
 most a radius of their bits. Candidates are ranked by their original vectors in double precision.
 Chunks widen with the number of vectors, so tables hold about as many rows per cell at any size. A wide
 chunk meets fewer pairs, so chunks of further rotations are added until ``RECALL`` of the pairs at the
-threshold itself, planted around vectors of the sample, are met.
+threshold itself, planted around vectors of the sample, are met. A planted pair differs in the direction of
+a near vector of the sample, so it lies where real pairs lie, also when all vectors share a subspace or a
+component; a third differ towards any vector of the sample and a third in any direction, and each third has
+to be met. When over
+``TABLES`` would be needed, chunks are made narrower: more candidates to rank, not fewer pairs.
 
 Equal vectors are one class with a weight, so many copies of one vector cost one row, and links count
 all of them. No cell, candidate list or link list is capped.
@@ -35,7 +39,9 @@ ROUNDS = 50
 RADIUS = 0.3
 #: Share of planted pairs at the threshold that the tables meet, and their number.
 RECALL = 0.95
-PLANTED = 4000
+PLANTED = 6000
+#: Tables before chunks are made a bit narrower.
+TABLES = 48
 
 
 def rotation(vectors: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -60,32 +66,53 @@ def layout(bits: int, n: int) -> tuple[int, int]:
     return chunks, bits // chunks
 
 
-def tabled(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray], least: float, n: int) -> tuple[list[np.ndarray], int, int]:
-    """Projections, number of tables and radius that meet pairs at cosine ``least`` among ``n`` vectors."""
-    mean, projection = model
-    bits = projection.shape[1]
-    chunks, width = layout(bits, n)
+def planted(vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at cosine ``least``: x from the sample, y away from it towards its nearest
+    vector below the threshold (first third), to any other (second) or in any direction (last)."""
     rng = np.random.default_rng(11)
     x = np.resize(vectors[:PLANTED], (PLANTED, vectors.shape[1]))
     side = rng.normal(size=x.shape)
+    third = PLANTED // 3
+    side[third : 2 * third] = vectors[rng.integers(0, len(vectors), third)]
+    for a in range(0, third, 500):
+        own = x[a : a + 500]
+        near = own @ vectors.T
+        near[near > least] = -2
+        best = near.argmax(axis=1)
+        found = near[np.arange(len(own)), best] > -1
+        side[a : a + 500][found] = vectors[best[found]]
+    own = np.abs((side * x).sum(axis=1)) > (1 - 1e-9) * np.linalg.norm(side, axis=1)
+    side[own] = rng.normal(size=(own.sum(), x.shape[1]))
     side -= (side * x).sum(axis=1, keepdims=True) * x
     side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
-    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * side
-    turns, tables, radius = [], 0, 0
-    met = np.zeros(PLANTED, bool)
-    while True:
-        turn = projection
-        if turns:
-            turn = projection @ np.linalg.qr(rng.normal(size=(bits, bits)))[0]
-        turns.append(turn)
-        apart = ((x - mean) @ turn >= 0) != ((y - mean) @ turn >= 0)
-        if tables == 0:
-            radius = max(int(RADIUS * bits), int(np.quantile(apart.sum(axis=1), 0.999)))
-        for i in range(chunks):
-            met |= apart[:, i * width : (i + 1) * width].sum(axis=1) <= 1
-            tables += 1
-            if tables >= chunks and met.mean() >= RECALL:
-                return turns, tables, radius
+    return x, least * x + math.sqrt(max(0.0, 1 - least * least)) * side
+
+
+def tabled(vectors: np.ndarray, model: tuple[np.ndarray, np.ndarray], least: float, n: int) -> tuple[list[np.ndarray], int, int, int]:
+    """Projections, number of tables, width of a chunk and radius that meet pairs at cosine ``least`` among ``n`` vectors."""
+    mean, projection = model
+    bits = projection.shape[1]
+    x, y = planted(vectors, least)
+    rng = np.random.default_rng(13)
+    turns, apart = [], []
+
+    def differing(k: int) -> np.ndarray:
+        while len(turns) <= k:
+            turns.append(projection @ np.linalg.qr(rng.normal(size=(bits, bits)))[0] if turns else projection)
+            apart.append(((x - mean) @ turns[-1] >= 0) != ((y - mean) @ turns[-1] >= 0))
+        return apart[k]
+
+    radius = max(int(RADIUS * bits), int(np.quantile(differing(0).sum(axis=1), 0.999)))
+    for width in range(layout(bits, n)[1], 0, -1):
+        chunks = bits // width
+        met = np.zeros(PLANTED, bool)
+        for t in range(max(chunks, TABLES)):
+            i = t % chunks * width
+            met |= differing(t // chunks)[:, i : i + width].sum(axis=1) <= 1
+            if t + 1 >= chunks and met.reshape(3, -1).mean(axis=1).min() >= RECALL:
+                return turns[: t // chunks + 1], t + 1, width, radius
+    # One bit that may differ excludes nothing.
+    return turns[:1], 1, 1, radius
 
 
 def _coding(model):
@@ -133,7 +160,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             x = np.vstack([np.eye(dim), -np.eye(dim)])
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         model = rotation(x, min(dim, 64))
-        turns, tables, radius = tabled(x, model, least, n)
+        turns, tables, width, radius = tabled(x, model, least, n)
         names = [f"code{k}" for k in range(len(turns))]
         coded = stored(
             own.select("id", "v").mapInArrow(
@@ -141,7 +168,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
             ),
             "codes",
         )
-        found = _pairs(coded.select("id", *names), model[1].shape[1], n, tables, radius)
+        found = _pairs(coded.select("id", *names), model[1].shape[1], tables, width, radius)
         pairs = stored(found, "candidates")
         dot = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))
@@ -172,9 +199,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     )
 
 
-def _pairs(codes: DataFrame, bits: int, n: int, tables: int, radius: int) -> DataFrame:
+def _pairs(codes: DataFrame, bits: int, tables: int, width: int, radius: int) -> DataFrame:
     """(a, b) of codes that agree but for one bit in some chunk and for ``radius`` in all; each pair once."""
-    chunks, width = layout(bits, n)
+    chunks = bits // width
     names = [c for c in codes.columns if c != "id"]
     mask = F.lit((1 << width) - 1).cast("bigint")
 

@@ -355,12 +355,12 @@ def test_vector_tables_meet_the_threshold_at_every_size(spark, n):
     side -= (side * x).sum(1, keepdims=True) * x
     y = 0.9 * x + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
     model = vectors.rotation(np.vstack([x, y]), 64)
-    turns, tables, radius = vectors.tabled(x, model, 0.9, n)
+    turns, tables, width, radius = vectors.tabled(x, model, 0.9, n)
     place = np.uint64(1) << np.arange(64, dtype=np.uint64)
     codes = [((((np.vstack([x, y]) - model[0]) @ t >= 0) * place).sum(1, dtype=np.uint64)).view(np.int64) for t in turns]
     names = [f"code{k}" for k in range(len(turns))]
     frame = spark.createDataFrame([(i, *[int(c[i]) for c in codes]) for i in range(1200)], ", ".join(["id long", *[f"{c} long" for c in names]]))
-    found = [tuple(r) for r in vectors._pairs(frame, 64, n, tables, radius).collect()]
+    found = [tuple(r) for r in vectors._pairs(frame, 64, tables, width, radius).collect()]
     assert len(found) == len(set(found))
     assert sum((i, 600 + i) in set(found) for i in range(600)) >= 0.9 * 600
 
@@ -378,6 +378,49 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+@pytest.mark.parametrize("dims,rank,common", [(64, 64, 1.0), (256, 32, 0.0), (768, 32, 0.0), (768, 64, 1.0), (768, 64, 2.0)])
+@pytest.mark.parametrize("n", [50_000, 1_000_000])
+def test_vector_tables_in_a_subspace(dims, rank, common, n):
+    """Pairs at the threshold between vectors of one subspace, with a common component."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8000, rank)) @ rng.normal(size=(rank, dims)) / np.sqrt(rank)
+    base += 0.02 * rng.normal(size=base.shape) + common * rng.normal(size=dims)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    fit, x, other = base[:6000], base[6000:7000], base[7000:]
+    model = vectors.rotation(fit, 64)
+    turns, tables, width, radius = vectors.tabled(fit, model, 0.9, n)
+    side = other - (x * other).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    chunks, met = 64 // width, np.zeros(len(x), bool)
+    apart = [((x - model[0]) @ t >= 0) != ((y - model[0]) @ t >= 0) for t in turns]
+    for t in range(tables):
+        met |= apart[t // chunks][:, t % chunks * width : (t % chunks + 1) * width].sum(1) <= 1
+    assert (met & (apart[0].sum(1) <= radius)).mean() >= 0.9 and tables <= max(chunks, vectors.TABLES)
+
+
+def test_vector_components_against_brute_force(spark, sf_dir):
+    """Links, components and kept rows of the registered query over the smallest given table."""
+    from cutline.llm import catalog
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    own = [r for r in rows if r["embedding"] and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
+    u = np.array([r["embedding"] for r in own], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    group = np.array([r["vec_id"] for r in own])
+    while True:
+        after = np.array([min(group[i], group[near[i]].min(initial=group[i])) for i in range(len(u))])
+        if (after == group).all():
+            break
+        group = after
+    got = {r["vec_id"]: r for r in catalog.queries()["op9_near_vectors"](spark, sf_dir).collect()}
+    links = np.array([got[r["vec_id"]]["n_links"] for r in own])
+    assert len(got) == len(rows) and (links <= near.sum(1)).all() and links.sum() >= 0.9 * near.sum()
+    same = np.array([got[r["vec_id"]]["component_id"] for r in own]) == group
+    assert same.mean() >= 0.98
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
 def _rules_by_counting(rows, support, confidence):
     """Every token set of the labelled rows that says its label, without those a part of them already says."""
     sets, both = Counter(), Counter()
