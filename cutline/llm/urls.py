@@ -125,7 +125,10 @@ def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: f
             .groupBy("items").agg(best.alias("best"))
             .select("items", F.col("best.label").alias("label"), F.col("best.confidence").alias("sure"))
         )
-    return urls.join(found, "items", "left").select(
+    # Urls that a listed rule fits need no mined one: a host with most of them is not shuffled by its tokens.
+    wanted = F.col("listed").isNull() & (F.col("host") != "")
+    rest = urls.where(~wanted).select("*", F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("sure"))
+    return urls.where(wanted).join(found, "items", "left").unionByName(rest).select(
         "page_id", "host", "path", "rule",
         F.coalesce("listed", "label", F.lit("allow")).alias("verdict"),
         F.when(F.col("rule").isNotNull(), "rule").when(F.col("label").isNotNull(), "mined").otherwise("default").alias("decided_by"),
