@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, html, licences, lines, ngram_join, packing, quotes, toxicity, urls, vectors
+from cutline.llm import decontaminate, html, kernels, licences, lines, ngram_join, packing, quotes, toxicity, urls, vectors
 
 DOCS = "doc_id long, text string, n_shingles string"
 
@@ -110,9 +111,45 @@ def test_line_dedup_recall(spark):
     assert not any(got[i] for i in range(300))
 
 
-def test_line_dedup_is_native(spark, texts, capsys):
-    docs = spark.createDataFrame([(d, t) for d, t in texts], "doc_id long, text string")
-    lines.dedup_lines(docs).explain()
+def test_line_sets_equal_brute_force():
+    """Sets, sizes and common shingles of odd texts, alone and in runs, in steps smaller than a text."""
+    plain = ["a", "abcd", "abcde", "abcdeabcde", "日本語の長い行です。日本語", "é" * 9, "\U0001f600ab\U0001f600cd", "x" * 3000, "abcdX", "日本"]
+    sets = [{t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in plain]
+    column = pa.array(plain * 900)
+    runs = list(lines._runs(column))
+    assert [r[0] for r in runs][0] == 0 and runs[-1][1] == len(column) and max(b - a for a, b, _ in runs) <= lines._RUN
+    sizes = np.concatenate([np.bincount((k >> np.uint64(51)).astype(int), minlength=b - a) for a, b, k in runs])
+    assert sizes.tolist() == [len(s) for s in sets] * 900
+    pairs = [(i, j) for i in range(len(plain)) for j in range(len(plain))]
+    batch = pa.RecordBatch.from_pydict(
+        {"a": [i for i, _ in pairs], "b": [j for _, j in pairs], "p": [plain[i] for i, _ in pairs], "q": [plain[j] for _, j in pairs]}
+    )
+    for percent in (1, 50, 80):
+        got = [(r["a"], r["b"]) for out in lines._verifying(percent)([batch]) for r in out.to_pylist()]
+        assert got == [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+
+
+def test_line_sets_of_a_long_line(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcé"), 20_000))
+    whole = lines._sets(*texts_of([text]))
+    monkeypatch.setattr(lines, "_STEP", 777)
+    assert np.array_equal(whole, lines._sets(*texts_of([text])))
+    assert len(whole) == len({text[i : i + 5] for i in range(len(text) - 4)})
+
+
+def texts_of(rows):
+    return kernels.texts(pa.array(rows))
+
+
+def test_line_dedup_keeps_clashing_names(spark):
+    rows = [(1, "eine Zeile, die zweimal steht", "x", 5, "n"), (2, "eine Zeile, die zweimal steht", None, None, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, rows int, h1 string")
+    got = sorted(tuple(r) for r in lines.dedup_lines(docs).select("doc_id", "text", "gone", "rows", "h1", "n_dropped").collect())
+    assert got == [(1, rows[0][1], "x", 5, "n", 0), (2, "", None, None, "m", 1)]
+
+
+def test_quote_linking_is_native(spark, capsys):
     quotes.link_quotes(spark.createDataFrame([(1, 0, "u", "a")], "conv_id long, turn long, role string, text string")).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
 
