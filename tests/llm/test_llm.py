@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.llm import decontaminate, html, kernels, licences, lines, ngram_join, packing, quotes, toxicity, urls, vectors
+from cutline.llm import decontaminate, graph, html, kernels, licences, lines, ngram_join, packing, quotes, toxicity, urls, vectors
 
 DOCS = "doc_id long, text string, n_shingles string"
 
@@ -129,6 +129,49 @@ def test_line_sets_equal_brute_force():
         assert got == [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
 
 
+def test_line_bitmaps_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    plain = ["".join(rng.choice(list("abcé日"), rng.integers(1, 400))) for _ in range(60)] + ["a", "abcde"]
+    sets = [{t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in plain]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(plain))), "plain": plain})
+    marks = [r for out in lines._marks([batch]) for r in out.to_pylist()]
+    assert [(r["id"], r["plain"]) for r in marks] == list(enumerate(plain))
+    for i, p in enumerate(marks):
+        for j, q in enumerate(marks):
+            differ = sum(((p[f"bits{w}"] ^ q[f"bits{w}"]) & (1 << 64) - 1).bit_count() for w in range(lines.WORDS))
+            assert differ <= len(sets[i] ^ sets[j]) and differ % 2 == len(sets[i] ^ sets[j]) % 2
+
+
+def test_line_dedup_makes_few_pairs_of_a_group_without_links(spark, monkeypatch):
+    """Copies of one line with four edits each share bands and link with none: 7,140 pairs that are no result."""
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    base = rng.choice(letters, 254)
+
+    def edited(at):
+        out = base.copy()
+        out[at] = "#"
+        for k in at:
+            out[k] = chr(0x100 + int(rng.integers(0, 5000)))
+        return "".join(out)
+
+    rows = [(i, edited(rng.choice(25, 4, replace=False) * 10 + rng.integers(0, 10, 4))) for i in range(120)]
+    sets = [{t[j : j + 5] for j in range(len(t) - 4)} for _, t in rows]
+    near = {b for b in range(120) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    rows += [(1000 + i, t + "!") for i, t in rows[:10]]
+    made = {}
+
+    def counted(frame, name, stored=graph.stored):
+        out = stored(frame, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(graph, "stored", counted)
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[i] for i in range(120) if i not in near) and all(got[1000 + i] for i in range(10))
+    assert made["stars"] + made["apart"] < 1000
+
+
 def test_line_sets_of_a_long_line(monkeypatch):
     rng = np.random.default_rng(3)
     text = "".join(rng.choice(list("abcé"), 20_000))
