@@ -89,3 +89,31 @@ def test_provider_is_required(spark):
     empty = spark.createDataFrame([], DECISIONS)
     with pytest.raises(ValueError, match="RocksDB"):
         asof_stream(empty, spark.createDataFrame([], RECORDS))
+
+
+def test_entities_share_buckets(stateful, tmp_path):
+    """State rows and timers follow the buckets and not the entities; answers are each entity's own."""
+    feed = Feed(stateful, tmp_path, buckets=4)
+    names = [f"e{i}" for i in range(300)]
+    asked = [(e, f"{e}-{k}", 5 + 7 * k + i % 9) for i, e in enumerate(names) for k in range(2)]
+    told = [(e, h + i % 5, float(1000 * i + h)) for i, e in enumerate(names) for h in (3, 8, 8.5) if i % 7]
+    feed.send(asked + asked[:20], told)
+    # The watermark is at hour 18: decisions after it wait, and records after it still count.
+    told += [(e, 18.5 + i % 5, -float(i)) for i, e in enumerate(names) if i % 3]
+    feed.send(records=[r for r in told if r[1] > 18])
+    assert feed.state_rows() <= 4 * 5
+    got = feed.send(records=[("clock", 40, 0.0)])
+    want = {d: max(((t, v) for r, t, v in told if r == e and t <= h), default=(None, None))[1] for e, d, h in asked}
+    assert got == want
+    # What is left answers decisions that come later.
+    got = feed.send([(e, f"{e}-late", 50) for e in names], [("clock", 60, 0.0)])
+    got = feed.send(records=[("clock", 90, 0.0)])
+    assert {e: got[f"{e}-late"] for e in names} == {e: max(((t, v) for r, t, v in told if r == e), default=(0, None))[1] for e in names}
+
+
+def test_the_watermark_answers_what_it_has_passed(stateful, tmp_path):
+    """With the watermark at hour 18, what is asked a millisecond before is answered and what is asked then is not."""
+    feed = Feed(stateful, tmp_path)
+    feed.send([("a", "before", 18 - 1 / 3_600_000), ("a", "at", 18)], [("a", 17, 1.0), ("a", 18, 2.0), ("clock", 20, 0.0)])
+    assert feed.send(records=[("clock", 20, 0.0)]) == {"before": 1.0}
+    assert feed.send(records=[("clock", 21, 0.0)]) == {"before": 1.0, "at": 2.0}
