@@ -1,30 +1,5 @@
 """Tables written to the shared folder, which cut lineage and survive lost executors."""
 
-from __future__ import annotations
+from cutline.session import shuffles_freed, stored
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-from cutline.session import fresh_path
-
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the folder of ``spark.checkpoint.dir`` and read it back."""
-    path = fresh_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go at the end of each write, as what is read on is the written table; a frame that is
-    run again makes its own again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+__all__ = ["shuffles_freed", "stored"]

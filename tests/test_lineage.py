@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
+from cutline import session
+from cutline.operators import lineage
 from cutline.operators.lineage import column_path, path_nodes, suspicious_ancestry, upstream
 from cutline.sources.cases import EDGES, path_from_response, read_edges
 
@@ -127,3 +131,30 @@ def test_long_chain_is_found(spark):
     pairs = spark.createDataFrame([("t.c0", "t.c16"), ("t.c16", "t.c0")], "source string, target string")
     got = {(r["source"], r["found"], r["hops"]) for r in column_path(edges, pairs).collect()}
     assert got == {("t.c0", True, 16), ("t.c16", False, 0)}
+
+
+def test_many_sources_share_the_walks_of_their_targets(spark, monkeypatch):
+    """The same answers from either end; what is written between follows the shared nodes and not the sources."""
+    rng = random.Random(7)
+    inner = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice([None, None, "q1", "q2"])) for _ in range(90)]
+    leaves = [(f"s{i}", f"n{rng.randrange(40)}", rng.choice([None, "q3"])) for i in range(200) for _ in range(rng.randrange(3))]
+    pairs = [(f"s{i}", f"n{rng.randrange(5)}") for i in range(200) for _ in range(2)]
+    pairs += [(f"n{i}", f"n{rng.randrange(5)}") for i in range(40)] + [("s1", None), (None, "n1"), (None, None), ("gone", "n1")]
+    edges = inner + leaves + [("s0", "s0", None), (None, "n1", None), ("n3", None, None), *inner[:20]]
+    written = []
+
+    def stored(frame, name):
+        written.append(session.stored(frame, name))
+        return written[-1]
+
+    monkeypatch.setattr(lineage, "stored", stored, raising=False)
+    for hops, queries in ((None, True), (2, False)):
+        monkeypatch.setattr(lineage, "SHARED", 10**9, raising=False)
+        forward = found(spark, edges, pairs, max_hops=hops, with_queries=queries)
+        monkeypatch.setattr(lineage, "SHARED", 1, raising=False)
+        assert not written
+        assert found(spark, edges, pairs, max_hops=hops, with_queries=queries) == forward
+        assert hops or sum(r["found"] for r in forward.values()) > 100
+        walks = [frame.count() for frame in written if "hops" in frame.columns]
+        assert walks and sum(walks) <= 5 * 41
+        written.clear()
