@@ -52,21 +52,31 @@ _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 _TABLE = {ord(a): b for a, b in _LOOKALIKES.items()}
 _TABLE |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 _TABLE |= {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD)}
-_ASCII = {c: " " for c in range(128) if not chr(c).isalnum()} | {ord(a): b for a, b in _DIGITS.items()}
+_PLAIN = {chr(c): b or "" for c, b in _TABLE.items()}
+#: What becomes of each byte of UTF-8: only ASCII changes, so bytes of other letters stay as they are.
+_ASCII = bytearray(range(256))
+for _c in range(128):
+    _ASCII[_c] = ord(_DIGITS.get(chr(_c), chr(_c) if chr(_c).isalnum() else " "))
+_OTHER = re.compile(r"[^\w\x00-\x7f]+")
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|]+(?=[^\W_])|(?<![^\s])[@$](?=[^\W_])")
-_OTHER = re.compile(r"[^\w ]+")
 
 
 def fold(text: str | None) -> str:
     """Words of plain lower-case letters with one space before and after each."""
     text = (text or "").lower()
-    if not text.isascii():
-        text = text.translate(_TABLE)
+    # A pass for each of a text's few odd letters costs less than a look-up for every letter of it.
+    odd = set() if text.isascii() else {c for c in set(text) if c > "\x7f"}
+    for c in odd & _PLAIN.keys():
+        text = text.replace(c, _PLAIN[c])
     if any(s in text for s in _SIGNS):
         text = _SIGN.sub(lambda m: "".join(_SIGNS[c] for c in m[0]), text)
-    text = text.translate(_ASCII)
-    if not text.isascii():
+    other = [c for c in odd - _PLAIN.keys() if not c.isalnum()]
+    if len(other) > 16:
         text = _OTHER.sub(" ", text)
+    else:
+        for c in other:
+            text = text.replace(c, " ")
+    text = text.encode("utf-8", "surrogatepass").translate(_ASCII).decode("utf-8", "surrogatepass")
     words = text.split()
     return f" {' '.join(words)} " if words else " "
 
