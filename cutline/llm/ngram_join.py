@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cutline.llm import kernels
 from cutline.llm.graph import connect
-from cutline.llm.store import stored
+from cutline.llm.store import shuffles_freed, stored
 
 #: Words are runs of characters outside ASCII white space.
 WORD_BYTES = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
@@ -210,7 +210,8 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
             .select("a", "b")
         )
 
-    found = connect(postings, prepared, verified, percent)
+    with shuffles_freed(spark):
+        found = connect(postings, prepared, verified, percent)
     grouped = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
     return (
         sketches.select("doc_id", *same)

@@ -618,6 +618,16 @@ def test_folding_looks_up_no_letter_one_by_one():
     assert seconds(lambda: toxicity.fold(text)) < seconds(lambda: text.translate(look_up))
 
 
+def test_ngram_join_frees_shuffle_files(spark, texts, monkeypatch):
+    """Each written table takes its shuffle files with it, and the setting is as before afterwards."""
+    name, seen, connect = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], ngram_join.connect
+    monkeypatch.setattr(ngram_join, "connect", lambda *args: seen.append(spark.conf.get(name, "false")) or connect(*args))
+    before = spark.conf.get(name, "false")
+    docs = spark.createDataFrame(texts[:6], "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.near_copies(docs).collect()} == brute(texts[:6], 5, 80)
+    assert (seen, spark.conf.get(name, "false")) == (["true"], before)
+
+
 def test_lines_are_made_plain_once(spark):
     odd = ["", " ", "  ", "\t", " \t \r\f\v ", "\u00a0", "\u0085", "\u2003", "\u001c", "a", " A  b ", "\tİ", None]
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, raw string")
